@@ -6,17 +6,35 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_decode
+from .exact_dedup import stream_dedup
+from .jaccard_join import near_components
+from .jpeg import media_column, media_features
 from .packing import pack_documents
 from .sharding import shard_by_bytes
 from .token_files import round_trip
+from .url_filter import judge_urls
+
+#: The rules of op1, as (action, host/path).
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the quality that `labels` has under its id."""
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    return judge_urls(table(spark, sf_dir, "pages"), outcomes, RULES).drop("bound")
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -25,6 +43,14 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(media_column(table(spark, sf_dir, "documents")))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -34,4 +60,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_packing, op5_token_files, op9_sharding, op10_bpe)}
+    return {f.__name__: f for f in (op1_url_filter, op3_exact_dedup, op4_packing, op5_token_files, op6_media, op7_jaccard_join, op9_sharding, op10_bpe)}
