@@ -14,6 +14,7 @@ from .jaccard_join import near_components
 from .jpeg import media_column, media_features
 from .packing import pack_documents
 from .sharding import shard_by_bytes
+from .suffix_dedup import remove_repeats
 from .token_files import round_trip
 from .url_filter import judge_urls
 
@@ -51,6 +52,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"), size=100)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -60,4 +66,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_exact_dedup, op4_packing, op5_token_files, op6_media, op7_jaccard_join, op9_sharding, op10_bpe)}
+    return {f.__name__: f for f in (op1_url_filter, op3_exact_dedup, op4_packing, op5_token_files, op6_media, op7_jaccard_join, op8_suffix_dedup, op9_sharding, op10_bpe)}

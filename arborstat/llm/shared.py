@@ -53,3 +53,11 @@ def map_batches(df: DataFrame, rows: Callable[[Iterable[pa.RecordBatch]], Iterat
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of steps whose results are written and whose plans are gone."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
