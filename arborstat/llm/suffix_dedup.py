@@ -35,7 +35,7 @@ from .shared import map_batches, partitions, release, written
 
 U = np.uint64
 #: Contexts of a block and, so, of an anchor that is resolved in one; ids that are broadcast, at most.
-BLOCK, BROADCAST_IDS = 8192, 2_000_000
+BLOCK, BROADCAST_IDS = 4096, 2_000_000
 #: Bytes that are hashed in one go.
 PIECE = 4 << 20
 #: Of a packed run: its first string's start, the strings after it, the anchor's place in it, covered already.
