@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, written
+from .shared import join_ids, new_path, written
 
 SPACES = " \t\n\x0b\x0c\r"
 ROCKSDB = {
@@ -104,3 +104,15 @@ def stream_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def resolved(members: DataFrame) -> DataFrame:
     return members.select("doc_id", (-F.col("best.neg_id")).alias("keep_id"), "group_size", (F.col("row") == -F.col("best.neg_row")).alias("kept"), "text_sha256")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that stay, with all their columns."""
+    judged = written(stream_dedup(docs, id_col, text_col).select("doc_id", "keep_id", "kept", "text_sha256"), "judged")
+    if judged.where("not kept and doc_id <=> keep_id").isEmpty():
+        gone = judged.where("not kept").select(F.col("doc_id").alias(id_col))
+        return join_ids(docs, written(gone.distinct(), "gone"), id_col, "left_anti")
+    # Rows repeat an id with the same text: judged by both, and one of each is taken.
+    marked = docs.withColumn("_sha", F.sha2(without_spaces(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256))
+    stay = judged.where("kept").select(F.col("doc_id").alias("_stay"), F.col("text_sha256").alias("_stay_sha"))
+    return marked.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")) & (F.col("_sha") == F.col("_stay_sha")), "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha")

@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 
 from .bpe import Words
 from .components import components
-from .shared import map_batches, partitions, written
+from .shared import join_ids, map_batches, partitions, written
 
 #: Ratio of a band's ends, at least; short sketch in 64-bit words; odds of a link lost by leaving out poor blocks.
 BAND, SKETCH_WORDS, MISS = 1.25, 8, 1e-13
 #: A block has at least so many shingles to be left in where blocks may be left out at all.
 GOOD_BLOCK = 4
-#: Members of a run that are compared with each other within a task; ids that are broadcast, at most.
-RUN, BROADCAST_IDS = 2048, 2_000_000
+#: Members of a run that are compared with each other within a task.
+RUN = 2048
 SETS = "doc_id long, n_shingles long, set_hash binary, sketch array<long>, copy_of long, keys array<long>"
 
 U = np.uint64
@@ -210,16 +210,11 @@ def thinned(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(equal | near).select("u", "v", equal.alias("equal")).distinct()
 
 
-def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is in `ids`, which is a written table without repeats."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-
-
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (u, v) that are linked, judged by the whole sets."""
     pairs = written(pairs, "pairs")
     ids = written(pairs.where("not equal").select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ids")
-    texts = written(with_ids(docs, ids), "texts")
+    texts = written(join_ids(docs, ids, "doc_id", "left_semi"), "texts")
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_set = None, np.zeros(0, U)
@@ -285,7 +280,7 @@ def second_keys(docs: DataFrame, ids: DataFrame, words: int, percent: int, seed:
             keys = [sketch_keys(shingle_set(t, words), percent, seed) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "keys"])
 
-    return map_batches(with_ids(docs, ids), rows, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("next"))
+    return map_batches(join_ids(docs, ids, "doc_id", "left_semi"), rows, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("next"))
 
 
 def unresolved(members: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from .exact_dedup import stream_dedup
 from .jaccard_join import near_components
 from .jpeg import media_column, media_features
 from .packing import pack_documents
+from .rule_classifier import score_documents, train
 from .sharding import shard_by_bytes
 from .suffix_dedup import remove_repeats
 from .token_files import round_trip
@@ -32,6 +33,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), outcomes, RULES).drop("bound")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup(table(spark, sf_dir, "documents"))
 
@@ -66,4 +72,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_exact_dedup, op4_packing, op5_token_files, op6_media, op7_jaccard_join, op8_suffix_dedup, op9_sharding, op10_bpe)}
+    return {f.__name__: f for f in (op1_url_filter, op2_quality, op3_exact_dedup, op4_packing, op5_token_files, op6_media, op7_jaccard_join, op8_suffix_dedup, op9_sharding, op10_bpe)}

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no spark.checkpoint.dir (tests, one machine).
 FALLBACK_DIR = "file:///tmp/checkpoints"
@@ -61,3 +62,13 @@ def release(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+#: Rows of ids that are broadcast, at most; beyond it the join shuffles.
+BROADCAST_ROWS = 2_000_000
+
+
+def join_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+    """Semi or anti join with a written table of ids, broadcast only if its counted rows are few."""
+    small = ids.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(ids) if small else ids, df[on].eqNullSafe(ids[on]), how)

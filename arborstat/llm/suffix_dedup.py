@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import repeated_starts
-from .shared import map_batches, partitions, release, written
+from .shared import join_ids, map_batches, partitions, release, written
 
 U = np.uint64
-#: Contexts of a block and, so, of an anchor that is resolved in one; ids that are broadcast, at most.
-BLOCK, BROADCAST_IDS = 4096, 2_000_000
+#: Contexts of a block and, so, of an anchor that is resolved in one.
+BLOCK = 4096
 #: Bytes that are hashed in one go.
 PIECE = 4 << 20
 #: Of a packed run: its first string's start, the strings after it, the anchor's place in it, covered already.
@@ -215,11 +215,6 @@ def sorted_copies(contexts: DataFrame) -> DataFrame:
     return map_batches(dealt, rows, ROWS + ", open boolean")
 
 
-def with_docs(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `docs` (doc, text) in `ids`, a written table without repeats."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc", "left_semi")
-
-
 def context_bytes(docs: DataFrame, open_rows: DataFrame, size: int) -> DataFrame:
     """(anchor, doc, run, bytes) of contexts."""
 
@@ -237,7 +232,7 @@ def context_bytes(docs: DataFrame, open_rows: DataFrame, size: int) -> DataFrame
 
     per_doc = open_rows.groupBy("doc").agg(F.collect_list(F.struct("anchor", "run")).alias("found"))  # at most a document's own
     ids = written(open_rows.select("doc").distinct(), "ids")
-    both = with_docs(docs, ids).join(per_doc, "doc").select("doc", "text", "found")
+    both = join_ids(docs, ids, "doc", "left_semi").join(per_doc, "doc").select("doc", "text", "found")
     return map_batches(both, rows, "anchor long, doc long, run long, bytes binary")
 
 
@@ -313,20 +308,23 @@ def hashed_repeats(contexts: DataFrame, size: int) -> DataFrame:
     return later.select("doc", "first", (F.col("first") + size).alias("stop"))
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """(doc, doc_id, text) with an own number in order, which is doc_id unless ids are null or repeat."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def numbered(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """(doc, doc_id, text) and `keep`, with an own number in order, which is doc_id unless ids are null or repeat."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *keep)
     odd = slim.groupBy("doc_id").count().where("count > 1 or doc_id is null")
     if odd.isEmpty():
-        return slim.select(F.col("doc_id").alias("doc"), "doc_id", "text"), False
+        return slim.withColumn("doc", F.col("doc_id"))
     ordered = slim.repartitionByRange(partitions(docs.sparkSession), "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    return written(ordered.withColumn("doc", F.monotonically_increasing_id()), "numbered").select("doc", "doc_id", "text"), True
+    return written(ordered.withColumn("doc", F.monotonically_increasing_id()), "numbered")
 
 
-def remove_repeats(docs: DataFrame, size: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of each row; kept: the remaining bytes."""
-    spark = docs.sparkSession
-    docs, _ = numbered(docs, id_col, text_col)
+def remove_repeats(docs: DataFrame, size: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept) of each row and the columns of `keep`.
+
+    kept: the remaining bytes, or as_text, the text that they are without letters that a cut left incomplete.
+    """
+    spark, kinds = docs.sparkSession, dict(docs.dtypes)
+    docs = numbered(docs, id_col, text_col, keep)
     texts = docs.select("doc", "text")
     marked = written(sorted_copies(context_rows(texts, size)), "marked")
     release(spark)
@@ -356,15 +354,14 @@ def remove_repeats(docs: DataFrame, size: int = 100, id_col: str = "doc_id", tex
                 gone = np.cumsum(mask[:-1]) > 0
                 edges = np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                for column, value in zip(out, (len(raw), len(raw) - len(kept), int(edges), kept), strict=True):
+                for column, value in zip(out, (len(raw), len(raw) - len(kept), int(edges), kept.decode("utf-8", "ignore") if as_text else kept), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, [pa.int64()] * 3 + [pa.binary()], strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            cuts = [pa.array(c, k) for c, k in zip(out, [pa.int64()] * 3 + [pa.string() if as_text else pa.binary()], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cuts, *batch.columns[3:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *keep])
 
     ids = written(covered.select("doc").distinct(), "ids")
-    near = ids.count() <= BROADCAST_IDS
-    hint = F.broadcast(ids) if near else ids
     spans = covered.groupBy("doc").agg(F.collect_list(F.struct("first", "stop")).alias("found"))  # at most a document's own
-    touched = docs.join(hint, "doc", "left_semi").join(spans, "doc").select("doc_id", "text", "found")
-    whole = docs.join(hint, "doc", "left_anti").select("doc_id", "text", F.lit(None).cast("array<struct<first:long,stop:long>>").alias("found"))
-    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    touched = join_ids(docs, ids, "doc", "left_semi").join(spans, "doc").select("doc_id", "text", "found", *keep)
+    whole = join_ids(docs, ids, "doc", "left_anti").select("doc_id", "text", F.lit(None).cast("array<struct<first:long,stop:long>>").alias("found"), *keep)
+    result = ", ".join([f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}", *(f"`{c}` {kinds[c]}" for c in keep)])
     return map_batches(touched, cut, result).unionByName(map_batches(whole, cut, result))
