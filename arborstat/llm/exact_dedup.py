@@ -31,6 +31,8 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # Stores are closed when a task has committed, so an executor's disk holds few at a time, however many there are.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 #: Files of a micro-batch, at least, and micro-batches of a run, at most.
 LEAST_FILES, MOST_BATCHES = 16, 8
