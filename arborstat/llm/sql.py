@@ -1,7 +1,49 @@
-"""SQL of those queries that SQL can express."""
+"""SQL of those queries that SQL can express. The others are tested against brute force."""
 
 from __future__ import annotations
 
+from .queries import RULES
+from .url_filter import LEAST_CORRELATION, MOST_CORRELATION, TWO_LABEL_SUFFIXES, rule_sql
+
+PAIRS = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+
+
+def level(groups: str, keys: str, parent: str) -> str:
+    """Strength and posterior mean of one level, as CTEs <groups>_s and <groups>_m."""
+    correlation = f"greatest({LEAST_CORRELATION}, least({MOST_CORRELATION}, coalesce(sum((good - n * {parent}) ** 2 - n * {parent} * (1 - {parent})) / nullif(sum(n * (n - 1) * {parent} * (1 - {parent})), 0), {LEAST_CORRELATION})))"
+    return f"""{groups}_s AS (SELECT 1 / {correlation} - 1 AS strength FROM {groups}),
+{groups}_m AS (SELECT {keys}, n, strength, (good + strength * {parent}) / (n + strength) AS mean FROM {groups} CROSS JOIN {groups}_s)"""
+
+
+URLS = r"regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', {})"
+OP1 = f"""WITH u AS (SELECT page_id, translate(coalesce({URLS.format(1)}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce({URLS.format(2)}, '') AS path FROM pages),
+h AS (SELECT host, count(quality) AS n, coalesce(sum(quality), 0) AS good FROM u LEFT JOIN labels ON page_id = doc_id GROUP BY host),
+l AS (SELECT *, string_split(host, '.') AS p, array_to_string(string_split(host, '.')[-2:], '.') AS pair FROM h),
+nm AS (SELECT host, n, good, CASE WHEN pair IN ({PAIRS}) THEN pair ELSE p[-1] END AS suffix, CASE WHEN pair IN ({PAIRS}) THEN array_to_string(p[-3:], '.') ELSE pair END AS dom FROM l),
+a AS (SELECT coalesce(sum(good) / nullif(sum(n), 0), 0.5) AS pm FROM h),
+su AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(pm) AS pm FROM nm CROSS JOIN a GROUP BY suffix),
+{level("su", "suffix", "pm")},
+dm AS (SELECT nm.dom, nm.suffix, sum(nm.n) AS n, sum(nm.good) AS good, any_value(su_m.mean) AS pm FROM nm JOIN su_m USING (suffix) GROUP BY 1, 2),
+{level("dm", "dom", "pm")},
+ho AS (SELECT host, nm.n, nm.good, dm_m.mean AS pm FROM nm JOIN dm_m USING (dom)),
+{level("ho", "host", "pm")},
+v AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (n + strength + 1)) AS bound FROM ho_m),
+f AS (SELECT page_id, host, path, bound, {rule_sql(RULES)} AS fit FROM u JOIN v USING (host))
+SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.action, CASE WHEN bound >= 0.7 THEN 'allow' ELSE 'block' END) AS verdict FROM f"""
+#: White space goes, letter by letter, as in the operator.
+PLAIN = "translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')"
+OP3 = f"""WITH t AS (SELECT doc_id, {PLAIN} AS plain, length(coalesce(text, '')) AS points FROM documents),
+k AS (SELECT plain, arg_min(doc_id, struct_pack(a := -points, b := doc_id)) AS keep_id, count(*) AS group_size FROM t GROUP BY plain)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256 FROM t JOIN k USING (plain)"""
+#: The table of the crc's 256 bytes is made by its rule; a text's bytes are folded one by one.
+OP9 = """WITH RECURSIVE bit(n, c, k) AS (SELECT n, n, 0 FROM range(256) r(n) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bit WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS step FROM bit WHERE k = 8),
+t AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS n FROM documents),
+b AS (SELECT doc_id, n + 8 AS size, CASE WHEN n = 0 THEN 0 ELSE xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(n), lambda i: CAST(('0x' || substr(hex(text), 2 * i + 1, 2)) AS BIGINT))), lambda c, x: xor(c >> 8, step[(xor(c, x) & 255) + 1]))) END AS text_crc32 FROM t CROSS JOIN crc),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS before, sum(size) OVER () AS total FROM b),
+s AS (SELECT doc_id, size, text_crc32, CAST(least(23, (2 * before + size) * 24 // (2 * total)) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": OP1, "op3_exact_dedup": OP3, "op9_sharding": OP9}
