@@ -111,10 +111,10 @@ def resolved(members: DataFrame) -> DataFrame:
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
     judged = written(stream_dedup(docs, id_col, text_col).select("doc_id", "keep_id", "kept", "text_sha256"), "judged")
-    if judged.where("not kept and doc_id <=> keep_id").isEmpty():
-        gone = judged.where("not kept").select(F.col("doc_id").alias(id_col))
-        return join_ids(docs, written(gone.distinct(), "gone"), id_col, "left_anti")
-    # Rows repeat an id with the same text: judged by both, and one of each is taken.
+    gone = written(judged.where("not kept").select("doc_id").distinct(), "gone")
+    if join_ids(judged.where("kept").select("doc_id"), gone, "doc_id", "left_semi").isEmpty():
+        return join_ids(docs, gone.withColumnRenamed("doc_id", id_col), id_col, "left_anti")
+    # Rows share an id of which one stays and one goes: judged by id and text, and one of each is taken.
     marked = docs.withColumn("_sha", F.sha2(without_spaces(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256))
     stay = judged.where("kept").select(F.col("doc_id").alias("_stay"), F.col("text_sha256").alias("_stay_sha"))
     return marked.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")) & (F.col("_sha") == F.col("_stay_sha")), "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha")

@@ -14,7 +14,8 @@ documents would share no better block with odds under MISS, like those of a hash
 Candidates: a run of documents with the same key gives links to its smallest id alone, never all
 pairs. Candidates are thinned by size and by the Hamming distance of short sketches, then verified on
 the whole sets. Only runs that links have not made one component by then are compared further,
-in blocks of bounded size; longer ones are dealt anew by a second sketch first.
+in blocks of bounded size; longer ones are first dealt anew by other sketches, and what is
+still long then is compared block against block.
 Copies of the same set join through one of them, whatever their number.
 
 Defined results: null or empty text and text without words give an empty set, linked with nothing;
@@ -44,8 +45,8 @@ from .shared import join_ids, map_batches, partitions, written
 BAND, SKETCH_WORDS, MISS = 1.25, 8, 1e-13
 #: A block has at least so many shingles to be left in where blocks may be left out at all.
 GOOD_BLOCK = 4
-#: Members of a run that are compared with each other within a task.
-RUN = 2048
+#: Members of a run that are compared with each other within a task; times that longer runs are dealt anew.
+RUN, DEALS = 2048, 2
 SETS = "doc_id long, n_shingles long, set_hash binary, sketch array<long>, copy_of long, keys array<long>"
 
 U = np.uint64
@@ -283,6 +284,14 @@ def second_keys(docs: DataFrame, ids: DataFrame, words: int, percent: int, seed:
     return map_batches(join_ids(docs, ids, "doc_id", "left_semi"), rows, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("next"))
 
 
+def block_pairs(members: DataFrame) -> DataFrame:
+    """Each long run as runs of two of its blocks, dealt by a hash; a block stands with every other and with itself."""
+    blocks = F.ceil(F.col("length") * 2 / RUN).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).select("key", "doc_id", "component_id")
+
+
 def unresolved(members: DataFrame) -> DataFrame:
     """The runs whose members lie in more than one component; their length in `members`."""
     several = members.groupBy("key").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"), F.count("*").alias("length")).where("low <> high")
@@ -306,12 +315,16 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     while not open_runs.isEmpty():
         near = near_in_runs(open_runs.where(F.col("length") <= RUN).join(side, "doc_id"), percent)
         more = more.unionByName(written(verified(thinned(near, sets, percent), own, words, percent), "more"))
-        long_runs = open_runs.where(F.col("length") > RUN).drop("length")
-        ids = written(long_runs.select("doc_id").distinct(), "ids")
-        if ids.isEmpty():
+        long_runs = open_runs.where(F.col("length") > RUN)
+        if long_runs.isEmpty():
             break
         seed += 1
-        dealt = long_runs.join(second_keys(own, ids, words, percent, seed), "doc_id").withColumn("key", F.xxhash64("key", "next")).drop("next")
+        if seed > DEALS:
+            near = near_in_runs(block_pairs(long_runs).join(side, "doc_id"), percent)
+            more = more.unionByName(written(verified(thinned(near, sets, percent), own, words, percent), "more"))
+            break
+        ids = written(long_runs.select("doc_id").distinct(), "ids")
+        dealt = long_runs.drop("length").join(second_keys(own, ids, words, percent, seed), "doc_id").withColumn("key", F.xxhash64("key", "next")).drop("next")
         open_runs = written(unresolved(dealt), "open")
     found = components(more.unionByName(copies))
     return sets.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
