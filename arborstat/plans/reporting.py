@@ -180,7 +180,30 @@ def latest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(provenance.latest(events.withColumn("at", F.struct("ts", "event_id")), "user_id", "at").drop("at", "ts"))
 
 
-SIDE = 10
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream, counted by day and type."""
+    from ..streaming.ingest import event_counts, run_to_end
+    from ..tables import new_path
+
+    path = f"{sf_dir}/events.parquet"
+    # A stream reads folders: the table as it is, written as one.
+    folder = new_path(spark, "events")
+    spark.read.parquet(path).write.parquet(folder)
+    events = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    done = run_to_end(spark, event_counts(events), new_path(spark, "state"), new_path(spark, "windows"))
+    return rounded(done.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total")))
+
+
+def cluster_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxel and cluster tests together: the extents of clusters over each draw's threshold, ranked."""
+    from ..operators.grid import cluster_extents
+    from ..operators.permutation import rank_pvalues
+
+    stats = fits.voxel_statistics(experiment(spark, sf_dir), design(spark, sf_dir), 1, 9)
+    threshold = stats.where("k > 0").agg(F.percentile("stat", F.lit(0.95))).first()[0]
+    each, null = cluster_extents(stats.select("k", "vox", "i", "j", "stat"), threshold)
+    observed = each.where("k = 0").select("vox", F.col("extent").cast("double").alias("extent"))
+    return rounded(rank_pvalues(observed, null.withColumn("max_stat", F.col("max_stat").cast("double")), "extent"))
 
 
 def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +252,7 @@ def voxel_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     sem_band, percentile_band, head_to_head, win_rates, discovery_threshold, balanced_panel, tie_table, tune_best, loglog_slope, seed_pareto, size_staircase, min_size_cutoff, common_bins, rejection_curve,
-    rank_correlation, homogeneity, fp_parts, best_dice_node, region_centroids, union_score, dag_ancestors, dag_flatten, cell_complete, todo_leaves, recipe_uid, latest_records,
+    rank_correlation, homogeneity, fp_parts, best_dice_node, region_centroids, union_score, dag_ancestors, dag_flatten, cell_complete, todo_leaves, recipe_uid, latest_records, event_windows, cluster_fit,
     region_fit, split_fit, oracle_fit, ward_tree, tree_layout, voxel_fit,
 )
 

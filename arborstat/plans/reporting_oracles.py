@@ -61,4 +61,5 @@ SELECT tp, fp, fn, tn, {r('coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)',
         "recipe_uid": """WITH u AS (SELECT c_custkey, substr(sha256('{"kwargs":{"nation":' || c_nationkey || ',"segment":"' || c_mktsegment || '"},"op":"plant","parents":[]}'), 1, 32) AS uid FROM customer)
 SELECT c_custkey, uid, CAST('0x' || right(sha256('seed:' || uid), 8) AS BIGINT) AS seed FROM u""",
         "latest_records": f"SELECT user_id, event_id, event_type, {r('value')} FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+        "event_windows": f"SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     }

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no spark.checkpoint.dir.
 FALLBACK_DIR = "file:///tmp/checkpoints"
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or FALLBACK_DIR).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table: read again without its lineage, and kept when an executor is lost."""
     spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or FALLBACK_DIR).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
