@@ -39,7 +39,7 @@ def places(shape: Sequence[int]) -> np.ndarray:
 
 
 def packed_frame(exp_id: str, y: np.ndarray, ijk: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"exp_id": exp_id, "vox": np.arange(len(ijk)), "i": ijk[:, 0], "j": ijk[:, 1], "k": ijk[:, 2], "y": list(y.reshape(-1, y.shape[2]).T)})
+    return pd.DataFrame({"exp_id": exp_id, "vox": np.arange(len(ijk)), "i": ijk[:, 0], "j": ijk[:, 1], "k": ijk[:, 2], "y": y.reshape(-1, y.shape[2]).T.tolist()})
 
 
 def experiment(spark: SparkSession, exp_id: str, b: int, n_img: int, shape: Sequence[int], seed: int = 0, **moments) -> DataFrame:
