@@ -42,7 +42,7 @@ from .components import components
 from .shared import join_ids, map_batches, partitions, written
 
 #: Ratio of a band's ends, at least; short sketch in 64-bit words; odds of a link lost by leaving out poor blocks.
-BAND, SKETCH_WORDS, MISS = 1.25, 8, 1e-13
+BAND, SKETCH_WORDS, MISS = 1.5, 8, 1e-13
 #: A block has at least so many shingles to be left in where blocks may be left out at all.
 GOOD_BLOCK = 4
 #: Members of a run that are compared with each other within a task; times that longer runs are dealt anew.
