@@ -208,7 +208,7 @@ def cluster_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The suppliers' mean quantities as images on a plane ten wide, with a planted trend in one corner."""
-    held = dense_panel(table(spark, sf_dir, "lineitem")).where("vox <= 100").withColumns({"i": F.expr("cast((vox - 1) div 10 as int)"), "j": F.expr("cast((vox - 1) % 10 as int)")})
+    held = dense_panel(table(spark, sf_dir, "lineitem")).withColumns({"i": F.expr("cast((vox - 1) div 10 as int)"), "j": F.expr("cast((vox - 1) % 10 as int)")})
     planted = held.withColumn("qty", F.col("qty") + F.when((F.col("i") < 4) & (F.col("j") < 4), 0.1 * F.col("img")).otherwise(0.0))
     return packed(planted, "qty").select(F.lit("demo").alias("exp_id"), "vox", F.expr("cast((vox - 1) div 10 as int)").alias("i"), F.expr("cast((vox - 1) % 10 as int)").alias("j"), F.lit(0).alias("k"), "y")
 
@@ -228,8 +228,9 @@ def split_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = spark.range(1, 101).select(F.col("id").alias("vox"), F.expr("if((id - 1) div 10 < 4 and (id - 1) % 10 < 4, 0L, 1L)").alias("label"))
-    return rounded(fits.oracle_regions(experiment(spark, sf_dir), design(spark, sf_dir), 1, labels, n_perm=39))
+    packed = experiment(spark, sf_dir)
+    labels = packed.select("vox", F.expr("if(i < 4 and j < 4, 0L, 1L)").alias("label"))
+    return rounded(fits.oracle_regions(packed, design(spark, sf_dir), 1, labels, n_perm=39))
 
 
 def ward_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
