@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import provenance, report, tree_stats
+from ..tables import written
 from . import fits
 from .catalogue import NODE, TARGET_NATIONS, panel, rounded
 from .panel import dense_panel, images, packed, table, trend_basis, voxel_tree
@@ -199,8 +200,8 @@ def cluster_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.grid import cluster_extents
     from ..operators.permutation import rank_pvalues
 
-    stats = fits.voxel_statistics(experiment(spark, sf_dir), design(spark, sf_dir), 1, 9)
-    threshold = stats.where("k > 0").agg(F.percentile("stat", F.lit(0.95))).first()[0]
+    stats = written(fits.voxel_statistics(experiment(spark, sf_dir), design(spark, sf_dir), 1, fits.N_PERM), "stats")
+    threshold = stats.where("k > 0").agg(F.percentile("stat", F.lit(1 - fits.CFT_PVAL))).first()[0]
     each, null = cluster_extents(stats.select("k", "vox", "i", "j", "stat"), threshold)
     observed = each.where("k = 0").select("vox", F.col("extent").cast("double").alias("extent"))
     return rounded(rank_pvalues(observed, null.withColumn("max_stat", F.col("max_stat").cast("double")), "extent"))
@@ -219,18 +220,18 @@ def design(spark: SparkSession, sf_dir: str) -> fits.Design:
 
 
 def region_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(fits.fit_regions(experiment(spark, sf_dir), design(spark, sf_dir), 1, n_outer=39, n_inner=20))
+    return rounded(fits.fit_regions(experiment(spark, sf_dir), design(spark, sf_dir), 1))
 
 
 def split_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = design(spark, sf_dir)
-    return rounded(fits.fit_split(experiment(spark, sf_dir), d, 1, np.arange(d.x.shape[1]) % 2 == 0, n_perm=39))
+    return rounded(fits.fit_split(experiment(spark, sf_dir), d, 1, np.arange(d.x.shape[1]) % 2 == 0))
 
 
 def oracle_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = experiment(spark, sf_dir)
     labels = packed.select("vox", F.expr("if(i < 4 and j < 4, 0L, 1L)").alias("label"))
-    return rounded(fits.oracle_regions(packed, design(spark, sf_dir), 1, labels, n_perm=39))
+    return rounded(fits.oracle_regions(packed, design(spark, sf_dir), 1, labels))
 
 
 def ward_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,7 +248,7 @@ def voxel_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voxel statistics under permutations, maxima by draw and rank p-values."""
     from ..operators.permutation import max_null, rank_pvalues
 
-    stats = fits.voxel_statistics(experiment(spark, sf_dir), design(spark, sf_dir), 1, 39)
+    stats = written(fits.voxel_statistics(experiment(spark, sf_dir), design(spark, sf_dir), 1, fits.N_PERM), "stats")
     return rounded(rank_pvalues(stats.where("k = 0").select("vox", "stat"), max_null(stats, "stat"), "stat"))
 
 
