@@ -58,10 +58,10 @@ def cluster_extents(stats: DataFrame, threshold: float, conn: int = 4, axes: tup
     return each, each.groupBy(key).agg(F.coalesce(F.max("extent"), F.lit(0)).alias("max_stat"))
 
 
-def enhance(image: DataFrame, height_power: float = 2.0, extent_power: float = 0.5, steps: int = 10, conn: int = 4, axes: tuple[str, ...] = ("i", "j")) -> DataFrame:
+def enhance(image: DataFrame, height_power: float = 2.0, extent_power: float = 0.5, steps: int = 100, conn: int = 4, axes: tuple[str, ...] = ("i", "j")) -> DataFrame:
     """(vox, tfce): threshold-free cluster enhancement, the sum of extent^E height^H over equal steps to the maximum."""
     top = image.agg(F.max("stat").alias("top"))  # one row
-    levels = image.crossJoin(F.broadcast(top)).where("top > 0").select("vox", *axes, "stat", F.explode(F.expr(f"transform(sequence(1, {steps}), s -> struct(s as step, top * s / {steps} as height))")).alias("l"))
+    levels = image.crossJoin(F.broadcast(top)).where("top > 0").select("vox", *axes, "stat", F.explode(F.expr(f"transform(sequence(1, {steps}), s -> struct(s as step, if(s = {steps}, top, top * s / {steps}) as height))")).alias("l"))
     over = written(levels.select("vox", *axes, "stat", F.col("l.step").alias("step"), F.col("l.height").alias("height")).where("stat >= height"), "levels")
     comp = components(over.select("step", "vox", *axes), conn, axes, ("step",))
     sizes = comp.groupBy("step", "comp").agg(F.count("*").alias("extent"))

@@ -174,9 +174,17 @@ def cluster_extent_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.cluster_extents(stats, 1500.0)[1]
 
 
+def price_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_grid(spark, sf_dir).select("vox", "i", "j", (F.col("val") / 1000).alias("stat"))
+
+
 def tfce_enhance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    image = part_grid(spark, sf_dir).select("vox", "i", "j", (F.col("val") / 1000).alias("stat"))
-    return rounded(grid.enhance(image, steps=5))
+    """The five steps of its SQL; `tfce_full` takes all heights."""
+    return rounded(grid.enhance(price_image(spark, sf_dir), steps=5))
+
+
+def tfce_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(grid.enhance(price_image(spark, sf_dir)))
 
 
 def grid_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +207,7 @@ def entropy_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     panel_fill, voxel_screen, whiten_moments, zero_mean_scale, sigma_stretch, offset_patch, image_select, leading_images, group_split_cut, tree_node_sum, tree_confusion, tree_eh_b1, tree_llr_scan,
     five_stats_unpivot, tree_llr_b2, perm_table_md5, perm_draws, draw_zscore, max_stat_null, fwer_pvalues, critical_value, voxel_stat_matrix, cft_quantile, neighbor_join, grid_components,
-    cluster_extent_test, tfce_enhance, grid_smooth, grid_inflate, grid_bbox, entropy_bits,
+    cluster_extent_test, tfce_enhance, tfce_full, grid_smooth, grid_inflate, grid_bbox, entropy_bits,
 )
 
 
