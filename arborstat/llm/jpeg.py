@@ -342,11 +342,15 @@ def stored_payload(image: Image) -> tuple[bytes, int]:
     return np.where(values > 0, values, values + 255).astype(np.uint8).tobytes(), n_bytes
 
 
+def cell_overlaps(n: int, cells: int) -> np.ndarray:
+    """(cells, n): how much of each of n pixels lies in each of the equal cells, in 1 / cells of a pixel."""
+    pixel, cell = np.arange(n) * cells, np.arange(cells)[:, None] * n
+    return np.maximum(0, np.minimum(pixel + cells, cell + n) - np.maximum(pixel, cell))
+
+
 def thumbnail_hashes(pixels: np.ndarray) -> str:
-    """Average and difference hash of a thumbnail, 64 bits each, as hex."""
-    rows = ((np.arange(8) + 0.5) * pixels.shape[0] / 8).astype(int)
-    columns = ((np.arange(9) + 0.5) * pixels.shape[1] / 9).astype(int)
-    small = pixels[np.ix_(rows, columns)].astype(np.int64)
+    """Average and difference hash of a thumbnail, 64 bits each, as hex, of the sums over 8 x 9 cells of equal area."""
+    small = cell_overlaps(pixels.shape[0], 8) @ pixels.astype(np.int64) @ cell_overlaps(pixels.shape[1], 9).T
     mean = small[:, :8] * 64 >= small[:, :8].sum()
     return f"{np.packbits(mean).tobytes().hex()}:{np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()}"
 
