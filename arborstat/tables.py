@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no spark.checkpoint.dir.
-FALLBACK_DIR = "file:///tmp/checkpoints"
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share, as `spark.checkpoint.dir` names it."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or FALLBACK_DIR).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def shared_dir(spark: SparkSession) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if re.match(r"local(\[|$)", spark.sparkContext.master):  # driver and executor are one process
+        return f"file://{tempfile.gettempdir()}/checkpoints"
+    raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -19,4 +27,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete `written` tables that no later step and no result reads."""
+    for table in tables:
+        remove(table.sparkSession, table._written_at)

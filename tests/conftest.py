@@ -5,8 +5,7 @@ from arborstat.session import session
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    held = session("local[4]", 4)
-    held.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}") if held.conf.get("spark.checkpoint.dir", None) is None else None
+    held = session("local[4]", 4, f"file://{tmp_path_factory.mktemp('shared')}")
     held.sparkContext.setLogLevel("ERROR")
     yield held
     held.stop()
