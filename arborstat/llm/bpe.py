@@ -31,10 +31,11 @@ from tokenizers import Tokenizer
 
 from .shared import map_batches
 
-#: Words kept with their ids in each of two generations, and the longest of them in characters.
-KEPT_WORDS, KEPT_LENGTH = 400_000, 64
-#: Letters of the scripts that are split here, and white space among them. The library splits texts
-#: with others, since its tables for them are of another Unicode version than Python's.
+#: Words kept with their ids in each of two generations, and the longest of them in characters: some 80 MB a worker.
+KEPT_WORDS, KEPT_LENGTH = 300_000, 32
+#: Letters of the scripts that are split here once in lower case, and white space among them. Of texts with
+#: others the library gives the words, since its tables are of another Unicode version than Python's;
+#: the ids of words are found here in either case.
 USUAL = r"\x00-\u024f\u2010-\u2027\u20ac"
 SPACE = r"\t-\r \x85\xa0"
 NEVER = 1 << 60
@@ -114,7 +115,7 @@ class PrefixBPE:
         self.split_special = re.compile(f"({specials})") if specials else None
         marks = r"'s|'t|'re|'ve|'m|'ll|'d|"
         self.ascii_words = re.compile(marks + r"[a-z]+|[0-9]|[^\t-\r a-z0-9]+").findall
-        usual = [c for c in map(chr, range(0x250)) if c == c.lower()]
+        usual = [c for c in map(chr, range(0x250)) if c == c.lower()]  # what is judged is in lower case
         letter = "".join(c for c in usual if unicodedata.category(c)[0] == "L")
         number = "".join(c for c in usual if unicodedata.category(c)[0] == "N")
         self.words = re.compile(marks + f"[{letter}]+|[{number}]|[^{SPACE}{letter}{number}]+").findall
@@ -179,14 +180,15 @@ class PrefixBPE:
     def plain_bytes(self, text: str) -> bytes:
         if text.isascii():
             return b"".join(map(self.kept.__getitem__, self.ascii_words(text.lower())))
-        if self.unusual(text):
+        lower = unicodedata.normalize("NFC", text).lower()
+        if self.unusual(text) or self.unusual(lower):  # a letter may leave the usual ones in lower case
             found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
             return b"".join([self.kept_spelled[word] for word, _ in found])
-        return b"".join(map(self.kept.__getitem__, self.words(unicodedata.normalize("NFC", text).lower())))
+        return b"".join(map(self.kept.__getitem__, self.words(lower)))
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids of `text` as little-endian unsigned 32-bit integers."""
-        if "<|" not in text or self.split_special is None:
+        if self.split_special is None or not self.split_special.search(text):
             return self.plain_bytes(text)
         return b"".join(np.array([self.special[s]], "<u4").tobytes() if s in self.special else self.plain_bytes(s) for s in self.split_special.split(text))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 
 def nearest(edges: DataFrame) -> DataFrame:
@@ -26,11 +26,14 @@ def small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of every id in a link (u, v) that isn't the smallest of its component."""
+    """(doc_id, component_id) of every id in a link (u, v) that isn't the smallest of its component, as a written table."""
     edges, mark = written(edges.where("u <> v").distinct(), "links"), None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
-            return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id"))
-        mark = now
-        edges = written(small_star(large_star(edges)), "links")
+            found = edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id"))
+            found._written_at = edges._written_at
+            return found
+        mark, old = now, edges
+        edges = written(small_star(large_star(old)), "links")
+        discard(old)

@@ -1,7 +1,7 @@
 """Packing into sequences by first-fit decreasing, in randomised groups of documents.
 
-Each document is cut into full sequences and a rest; a group packs its pieces on its own, so
-that no task sees more than a group. Within a group pieces come in order of falling length;
+Each document is cut into full sequences and a rest; whole documents are dealt to groups, and a group
+packs its documents' pieces on its own, so that no task sees more than a group. Within a group pieces come in order of falling length;
 a tournament tree over the bins' free room finds the first bin that holds a piece.
 
 Defined results: null text is empty, and an empty document is the end id alone; ties in length
@@ -26,6 +26,7 @@ from .tokens import text_ids
 #: Documents of a group, on average. Padding falls with it, a task's work grows with it.
 GROUP_DOCUMENTS = 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+KINDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "doc_crc32"]
 
 
 class FirstFit:
@@ -66,30 +67,30 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each piece of at most `capacity` ids of each document, its end id included."""
+    """A row for each piece of at most `capacity` ids of each document, its end id included; doc_crc32 is of all its ids."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = text_ids(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            out: list[list[int | None]] = [[], [], [], [], []]
+            out: list[list[int | None]] = [[] for _ in KINDS]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = ids.encode_bytes(text or "") + end
-                total = len(raw) // 4
+                total, whole = len(raw) // 4, zlib.crc32(raw)
                 for start in range(0, total, capacity):
                     piece = raw[4 * start : 4 * (start + capacity)]
-                    for column, value in zip(out, (doc, start, len(piece) // 4, zlib.crc32(piece), total), strict=True):
+                    for column, value in zip(out, (doc, start, len(piece) // 4, zlib.crc32(piece), total, whole), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], KINDS)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(slim, rows, PIECES)
+    return map_batches(slim, rows, PIECES + ", doc_crc32 long")
 
 
 def pack_pieces(pieces: DataFrame, n_documents: int, capacity: int, seed: int = 11) -> DataFrame:
     """`pieces` with sequence_id and offset. A sequence's id is its group's number times 2^32 plus its bin."""
     groups = max(1, round(n_documents / GROUP_DOCUMENTS))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "ids_crc32", "start"), F.lit(groups)))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_crc32"), F.lit(groups))).drop("doc_crc32")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")

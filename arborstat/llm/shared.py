@@ -2,42 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir (tests, one machine).
-FALLBACK_DIR = "file:///tmp/checkpoints"
-#: Rows of one Arrow batch, and its bytes where the Spark version can bound them.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as `spark.checkpoint.dir` names it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or FALLBACK_DIR).rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/arborstat-{name}-{uuid.uuid4().hex}"
+from arborstat.tables import discard, new_path, remove, shared_dir, written
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table that only earlier steps needed."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["bounded_batches", "discard", "join_ids", "map_batches", "new_path", "partitions", "release", "remove", "shared_dir", "written"]
+#: Rows of one Arrow batch, and its bytes where the Spark version can bound them.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

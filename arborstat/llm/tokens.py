@@ -46,11 +46,13 @@ class TextIds:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode_bytes(self, text: str) -> bytes:
-        if not text.isascii() and self.unusual(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.special):
             return self.whole(text)
-        if self.lower:
-            text = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
-        return b"".join(map(self.kept.__getitem__, self.split(text)))
+        plain = text.isascii()
+        split = text if not self.lower else (text if plain else unicodedata.normalize("NFC", text)).lower()
+        if not plain and (self.unusual(text) or self.unusual(split)):  # a letter may leave the usual ones in lower case
+            return self.whole(text)
+        return b"".join(map(self.kept.__getitem__, self.split(split)))
 
 
 @cache

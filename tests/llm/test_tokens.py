@@ -13,7 +13,7 @@ from arborstat.llm.packing import first_fit_decreasing, pack_documents
 from arborstat.llm.shared import new_path
 from arborstat.llm.tokens import text_ids
 
-from .common import SCHEMA, documents, frame, odd_rows, repeated_rows
+from .common import documents, frame, odd_rows, repeated_rows
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -92,6 +92,12 @@ def test_first_fit_decreasing_is_first_fit():
         assert list(zip(*map(np.ndarray.tolist, first_fit_decreasing(lengths, 100)), strict=True)) == want
 
 
+def source_range(source):
+    source.seek(0)
+    whole = source.read_buffer(source.size())
+    return whole.address, whole.address + whole.size
+
+
 @pytest.mark.parametrize("rows", [odd_rows(), []])
 def test_token_files_round_trip(spark, rows):
     folder = new_path(spark, "test-ids")
@@ -111,7 +117,9 @@ def test_token_files_round_trip(spark, rows):
                 held = token_files.SequenceFile(source)
                 for k in range(held.sequences):
                     ids, mask = held.get(k)
-                    assert len(ids) == token_files.LENGTH and ids.base is not None
+                    assert len(ids) == len(mask) == token_files.LENGTH and ids.base is not None
+                    for view in (ids, mask):  # into the map, not copies
+                        assert source_range(source)[0] <= view.ctypes.data < source_range(source)[1]
                     stream += ids[mask].tolist()
         assert stream == [i for _, t, *_ in rows for i in [*ids_of(BYTE, t), 2]]
 
@@ -124,4 +132,27 @@ def test_token_files_with_null_and_repeated_ids(spark):
 
 
 def test_extra_columns_clash(spark):
-    assert "keep_id" in SCHEMA and "size" in SCHEMA and "score" in SCHEMA
+    """Columns of the input that have the names of results are ignored."""
+    df, extra = frame(spark, odd_rows()), ("start", "length", "n_tokens", "ids_crc32", "doc_tokens", "sequence_id", "offset", "group", "part", "file")
+    clash = df.selectExpr("*", *(f"'x' as {c}" for c in extra))
+    for run in (lambda d: pack_documents(d, WORD, capacity=256), lambda d: encode_decode(d, WORD), lambda d: token_files.round_trip(spark, d, BYTE)):
+        plain, odd = run(df), run(clash)
+        assert odd.columns == plain.columns and sorted(map(tuple, odd.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def latin(n):
+    """Every letter up to U+024F alone and between others, then texts of them, of which few are split by the library."""
+    rng, pool = random.Random(12), [chr(c) for c in range(0x250)]
+    marked = "abcABC 'sS12.,\u00e9\u00c9\u00dc\u00fc\u00df\u0130\u0131\u018f\u0307\u0301\u2019\u20ac"
+    return [*pool, *(f"a{c}b" for c in pool), "Bak\u0131 \u018fli", *("".join(rng.choice(p) for _ in range(rng.randint(1, 30))) for p in (pool, marked) for _ in range(n))]
+
+
+def test_latin_letters_are_the_library():
+    word, byte = Tokenizer.from_file(WORD), Tokenizer.from_file(BYTE)
+    prefix, words, raw = encoder(WORD), text_ids(WORD), text_ids(BYTE)
+    for text in latin(50_000):
+        ids = word.encode(text, add_special_tokens=False).ids
+        assert prefix.encode(text).tolist() == ids
+        assert np.frombuffer(words.encode_bytes(text), "<u4").tolist() == ids
+    for text in latin(5_000):
+        assert np.frombuffer(raw.encode_bytes(text), "<u4").tolist() == byte.encode(text, add_special_tokens=False).ids
