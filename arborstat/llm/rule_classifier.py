@@ -60,7 +60,9 @@ def statistics(text: str | None) -> list[float]:
 
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, a column for each of STATISTICS) and the columns of `keep`."""
+    """(doc_id, a column for each of STATISTICS) and the columns of `keep`, none of which may have such a name (ValueError)."""
+    if set(keep) & {"doc_id", "_text", *STATISTICS}:
+        raise ValueError(f"a column to keep has the name of a result: {keep}")
     kinds = dict(docs.dtypes)
     schema = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in keep), *(f"{s} double" for s in STATISTICS)])
     names = ["doc_id", *keep, *STATISTICS]

@@ -4,7 +4,8 @@ Labelled page outcomes (good or bad) are counted by host. A beta-binomial prior
 all pages to the suffix, the registered domain and the host: each level's groups are shrunk
 towards their parent's mean with a strength that the spread of that level's own groups gives
 (method of moments). A host passes if its posterior's lower bound of the good share is high enough.
-DataFrame operations only; hosts, not pages, are what the levels are computed from.
+DataFrame operations only; hosts, not pages, are what the levels are computed from, and each level
+is a written table. Pages of hot hosts meet them by broadcast, the others by a shuffle.
 
 Defined results: a null url or one without `://` has an empty host and path, fits no rule and is
 judged as the host ''; a null page_id is judged but has no outcome; a page with several outcomes
@@ -20,12 +21,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import discard, written
+
 #: Suffixes of two labels under which names are registered; elsewhere the suffix is the last label.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "gov.uk", "net.au", "org.au", "org.uk")
 #: Bounds of a level's intra-class correlation; strength of its prior is 1 / correlation - 1.
 LEAST_CORRELATION, MOST_CORRELATION = 0.001, 0.5
-#: Copies of a host's row, among which its pages are dealt, since one host may hold a third of them.
-SALTS = 8
+#: A host with over one in so many pages is hot: there are fewer of such than this, so they are broadcast.
+HOT = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -60,26 +63,31 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return chosen
 
 
-def shrunk(groups: DataFrame, parent: str) -> DataFrame:
-    """`groups` (n, good, parent mean) with the level's strength and each group's posterior mean."""
+def shrunk(groups: DataFrame, parent: str, name: str) -> DataFrame:
+    """`groups` (n, good, parent mean) with the level's strength and each group's posterior mean, as a written table."""
     n, k, p = F.col("n"), F.col("good"), F.col(parent)
     spread = F.sum((k - n * p) * (k - n * p)) - F.sum(n * p * (1 - p))
     room = F.sum(n * (n - 1) * p * (1 - p))
     correlation = F.greatest(F.lit(LEAST_CORRELATION), F.least(F.lit(MOST_CORRELATION), F.coalesce(F.try_divide(spread, room), F.lit(LEAST_CORRELATION))))
+    groups = written(groups, f"{name}-counts")
     strength = groups.agg((1 / correlation - 1).alias("strength"))  # one row
-    return groups.crossJoin(F.broadcast(strength)).withColumn("mean", (k + F.col("strength") * p) / (n + F.col("strength")))
+    out = written(groups.crossJoin(F.broadcast(strength)).withColumn("mean", (k + F.col("strength") * p) / (n + F.col("strength"))), name)
+    discard(groups)
+    return out
 
 
 def host_reputation(hosts: DataFrame, z: float, start: float) -> DataFrame:
-    """(host, mean, bound) from (host, n, good), a row for each host."""
+    """(host, pages, mean, bound) from the written (host, pages, n, good), a row for each host; a written table."""
     named = hosts.withColumns({"suffix": host_suffix(F.col("host")), "domain": registered_domain(F.col("host"))})
     total = hosts.agg(F.coalesce(F.try_divide(F.sum("good"), F.sum("n")), F.lit(start)).alias("all_mean"))  # one row
-    suffixes = shrunk(named.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).crossJoin(F.broadcast(total)), "all_mean")
+    suffixes = shrunk(named.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).crossJoin(F.broadcast(total)), "all_mean", "suffixes")
     domains = named.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    domains = shrunk(domains.join(suffixes.select("suffix", F.col("mean").alias("suffix_mean")), "suffix"), "suffix_mean")
-    each = shrunk(named.join(domains.select("domain", F.col("mean").alias("domain_mean")), "domain"), "domain_mean")
+    domains = shrunk(domains.join(suffixes.select("suffix", F.col("mean").alias("suffix_mean")), "suffix"), "suffix_mean", "domains")
+    each = shrunk(named.join(domains.select("domain", F.col("mean").alias("domain_mean")), "domain"), "domain_mean", "hosts")
     weight = F.col("n") + F.col("strength")
-    return each.select("host", "mean", (F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (weight + 1))).alias("bound"))
+    out = each.select("host", "pages", "mean", (F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (weight + 1))).alias("bound"))
+    discard(suffixes, domains)
+    return out
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], least_good: float = 0.7, z: float = 1.645, start: float = 0.5) -> DataFrame:
@@ -91,11 +99,14 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], lea
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     urls = urls.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     marks = outcomes.select(F.col("page_id").cast("long").alias("page_id"), F.col("good").cast("long").alias("good")).where("good is not null")
-    counts = urls.join(marks, "page_id", "left").groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+    counts = urls.join(marks, "page_id", "left").groupBy("host").agg(F.count("*").alias("pages"), F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+    counts = written(counts, "counts")
     known = host_reputation(counts, z, start)
-    known = known.select(F.col("host").alias("known_host"), "bound", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("known_salt"))
-    salted = urls.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
-    judged = salted.join(known, [F.col("host") == F.col("known_host"), F.col("salt") == F.col("known_salt")])
+    pages_in_all = counts.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    is_hot = F.col("pages") * HOT > pages_in_all
+    hot, other = known.where(is_hot).select("host", "bound"), known.where(~is_hot).select("host", "bound")
+    judged = urls.join(F.broadcast(hot), "host").unionByName(urls.join(F.broadcast(hot), "host", "left_anti").join(other, "host"))
+    discard(counts)
     fit = fitting_rule(F.col("host"), F.col("path"), rules)
     by_host = F.when(F.col("bound") >= least_good, F.lit("allow")).otherwise(F.lit("block"))
     judged = judged.withColumn("fit", fit)
