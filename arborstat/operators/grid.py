@@ -5,10 +5,13 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import written
+from ..functions.columns import known
+from ..tables import discard, written
 
 FWHM_TO_SIGMA = 1 / math.sqrt(8 * math.log(2))
 #: A kernel reaches so many standard deviations.
@@ -30,43 +33,103 @@ def neighbour_pairs(cells: DataFrame, conn: int = 4, axes: tuple[str, ...] = ("i
     return moved.join(cells.select(*keys, F.col("vox").alias("v"), *axes), [*keys, *axes]).select(*keys, "u", "v")
 
 
+#: Cells of one image that a task labels in one go; larger images take rounds of joins.
+IMAGE_CELLS = 2_000_000
+
+
 def components(cells: DataFrame, conn: int = 4, axes: tuple[str, ...] = ("i", "j"), keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, vox, comp): comp is the smallest voxel of the connected component. Labels spread and jump until they stay."""
+    """(keys, vox, comp): comp is the smallest voxel of the connected component.
+
+    Images (one for each of `keys`) whose cells a task holds are labelled there, one pass for all; beyond
+    IMAGE_CELLS labels spread over written edges.
+    """
+    most = cells.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return labelled(cells, conn, axes, keys) if most <= IMAGE_CELLS else spread_labels(cells, conn, axes, keys)
+
+
+def labelled(cells: DataFrame, conn: int, axes: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
+    """Each image's components by its own task: labels fall to the least neighbour's and jump to their own label's."""
+    shifts, kinds = np.array(offsets(conn, len(axes)), np.int64), dict(cells.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "vox long", "comp long"])
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        place, vox = pdf[list(axes)].to_numpy(np.int64), pdf["vox"].to_numpy(np.int64)
+        place = place - place.min(axis=0) + 1
+        span = place.max(axis=0) + 2
+        code = np.ravel_multi_index(tuple(place.T), tuple(span))
+        order = np.argsort(code, kind="stable")
+        held, pairs = code[order], []
+        for shift in shifts[len(shifts) // 2 :]:  # the other half are the same pairs
+            to = code + np.ravel_multi_index(tuple(place[0] + shift), tuple(span)) - code[0] if len(code) else code
+            at = np.minimum(np.searchsorted(held, to), len(held) - 1)
+            met = held[at] == to
+            pairs.append(np.stack([np.flatnonzero(met), order[at[met]]]))
+        u, v = np.concatenate(pairs, axis=1)
+        rank = np.argsort(np.argsort(vox, kind="stable"), kind="stable")
+        comp = rank.copy()
+        by_rank = np.argsort(rank)
+        while len(u):
+            low = np.minimum(comp[u], comp[v])
+            new = comp.copy()
+            np.minimum.at(new, by_rank[comp[u]], low)  # the old labels' own cells too, so that whole trees move
+            np.minimum.at(new, by_rank[comp[v]], low)
+            np.minimum.at(new, u, low)
+            np.minimum.at(new, v, low)
+            new = new[by_rank[new]]
+            if (new == comp).all():
+                break
+            comp = new
+        return pdf[list(keys)].assign(vox=vox, comp=vox[by_rank[comp]])
+
+    return cells.select(*keys, F.col("vox").cast("long").alias("vox"), *axes).groupBy(*keys).applyInPandas(label, schema)
+
+
+def spread_labels(cells: DataFrame, conn: int, axes: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
+    """The same by joins: labels spread and jump until they stay."""
     edges = written(neighbour_pairs(cells, conn, axes, keys), "edges")
-    label = written(cells.select(*keys, "vox", F.col("vox").alias("comp")), "labels")
+    label = old = written(cells.select(*keys, "vox", F.col("vox").alias("comp")), "labels")
     while True:
         spread = edges.join(label.withColumnRenamed("vox", "v"), [*keys, "v"]).groupBy(*keys, "u").agg(F.min("comp").alias("near"))
         near = label.join(spread.withColumnRenamed("u", "vox"), [*keys, "vox"], "left").select(*keys, "vox", "comp", F.least("comp", "near").alias("low"))
         # The label of the label's own voxel, so that long components settle in few rounds.
         far = near.select(*keys, F.col("vox").alias("low"), F.col("low").alias("jump"))
         new = written(near.join(far, [*keys, "low"], "left").select(*keys, "vox", F.least("low", "jump").alias("new"), "comp"), "labels")
+        discard(old)
         if new.where("new <> comp").isEmpty():
+            discard(edges)
             return new.select(*keys, "vox", F.col("new").alias("comp"))
-        label = new.select(*keys, "vox", F.col("new").alias("comp"))
+        old, label = new, new.select(*keys, "vox", F.col("new").alias("comp"))
 
 
-def cluster_extents(stats: DataFrame, threshold: float, conn: int = 4, axes: tuple[str, ...] = ("i", "j"), key: str = "k") -> tuple[DataFrame, DataFrame]:
-    """((k, vox, extent), (k, max_stat)): sizes of the components at or over the threshold, by draw.
+def cluster_extents(stats: DataFrame, threshold: float, conn: int = 4, axes: tuple[str, ...] = ("i", "j"), keys: tuple[str, ...] = ("k",)) -> tuple[DataFrame, DataFrame]:
+    """((keys, vox, extent), (keys, max_stat)): sizes of the components at or over the threshold, by draw.
 
     Voxels below it have extent 0, and a draw without a cluster has the maximum 0.
     """
     over = stats.where(F.col("stat") >= threshold)
-    comp = components(over.select(key, "vox", *axes), conn, axes, (key,))
-    sizes = comp.groupBy(key, "comp").agg(F.count("*").alias("extent"))
-    each = stats.select(key, "vox", "stat").join(comp, [key, "vox"], "left").join(sizes, [key, "comp"], "left")
-    each = each.select(key, "vox", F.when(F.col("stat").isNotNull(), F.coalesce("extent", F.lit(0))).alias("extent"))
-    return each, each.groupBy(key).agg(F.coalesce(F.max("extent"), F.lit(0)).alias("max_stat"))
+    comp = components(over.select(*keys, "vox", *axes), conn, axes, keys)
+    sizes = comp.groupBy(*keys, "comp").agg(F.count("*").alias("extent"))
+    each = stats.select(*keys, "vox", "stat").join(comp, [*keys, "vox"], "left").join(sizes, [*keys, "comp"], "left")
+    each = each.select(*keys, "vox", F.when(F.col("stat").isNotNull(), F.coalesce("extent", F.lit(0))).alias("extent"))
+    return each, each.groupBy(*keys).agg(F.coalesce(F.max("extent"), F.lit(0)).alias("max_stat"))
 
 
-def enhance(image: DataFrame, height_power: float = 2.0, extent_power: float = 0.5, steps: int = 100, conn: int = 4, axes: tuple[str, ...] = ("i", "j")) -> DataFrame:
-    """(vox, tfce): threshold-free cluster enhancement, the sum of extent^E height^H over equal steps to the maximum."""
-    top = image.agg(F.max("stat").alias("top"))  # one row
-    levels = image.crossJoin(F.broadcast(top)).where("top > 0").select("vox", *axes, "stat", F.explode(F.expr(f"transform(sequence(1, {steps}), s -> struct(s as step, if(s = {steps}, top, top * s / {steps}) as height))")).alias("l"))
-    over = written(levels.select("vox", *axes, "stat", F.col("l.step").alias("step"), F.col("l.height").alias("height")).where("stat >= height"), "levels")
-    comp = components(over.select("step", "vox", *axes), conn, axes, ("step",))
-    sizes = comp.groupBy("step", "comp").agg(F.count("*").alias("extent"))
-    part = over.join(comp, ["step", "vox"]).join(sizes, ["step", "comp"]).groupBy("vox").agg(F.sum(F.pow("extent", F.lit(extent_power)) * F.pow("height", F.lit(height_power))).alias("tfce"))
-    return image.select("vox").join(part, "vox", "left").select("vox", F.coalesce("tfce", F.lit(0.0)).alias("tfce"))
+def enhance(image: DataFrame, height_power: float = 2.0, extent_power: float = 0.5, steps: int = 100, conn: int = 4, axes: tuple[str, ...] = ("i", "j"), keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, vox, tfce): threshold-free cluster enhancement, the sum of extent^E height^H over equal steps to the maximum.
+
+    By `keys` (draws, say) each image has a maximum of its own. Unknown statistics count as 0 in it and stay unknown.
+    """
+    held = image.select(*keys, "vox", *axes, known(F.col("stat")).alias("stat"))
+    top = held.groupBy(*keys).agg(F.max("stat").alias("top"))  # a row an image
+    with_top = held.join(F.broadcast(top), list(keys)) if keys else held.crossJoin(F.broadcast(top))
+    # Only the steps that a voxel reaches: s steps of height top / steps each, the last at top itself.
+    step = F.struct(F.col("s").alias("step"), F.when(F.col("s") == steps, F.col("top")).otherwise(F.col("top") * F.col("s") / steps).alias("height"))
+    levels = with_top.where("top > 0 and stat > 0").select(*keys, "vox", *axes, "stat", "top", F.explode(F.expr(f"sequence(1, {steps})")).alias("s")).withColumn("l", step)
+    over = written(levels.select(*keys, "vox", *axes, "stat", F.col("l.step").alias("step"), F.col("l.height").alias("height")).where("stat >= height"), "levels")
+    comp = components(over.select(*keys, "step", "vox", *axes), conn, axes, (*keys, "step"))
+    sizes = comp.groupBy(*keys, "step", "comp").agg(F.count("*").alias("extent"))
+    part = over.join(comp, [*keys, "step", "vox"]).join(sizes, [*keys, "step", "comp"]).groupBy(*keys, "vox").agg(F.sum(F.pow("extent", F.lit(extent_power)) * F.pow("height", F.lit(height_power))).alias("tfce"))
+    return held.select(*keys, "vox", "stat").join(part, [*keys, "vox"], "left").select(*keys, "vox", F.when(F.col("stat").isNotNull(), F.coalesce("tfce", F.lit(0.0))).alias("tfce"))
 
 
 def kernel(fwhm: float, size: float = 1.0) -> list[tuple[int, float]]:
@@ -101,6 +164,34 @@ def inflate(held: DataFrame, support: DataFrame, halo: int, axes: tuple[str, ...
     return support.join(grown, list(axes), "left_semi")
 
 
+def crop(cells: DataFrame, box: DataFrame, axes: tuple[str, ...] = ("i", "j")) -> DataFrame:
+    """The cells within a bounding box, in coordinates from its corner."""
+    inside = cells.crossJoin(F.broadcast(box))  # one row
+    for a in axes:
+        inside = inside.where(F.col(a).between(F.col(f"lo_{a}"), F.col(f"hi_{a}"))).withColumn(a, F.col(a) - F.col(f"lo_{a}"))
+    return inside.select(*cells.columns)
+
+
+def scatter(values: DataFrame, grid: DataFrame, column: str, axes: tuple[str, ...] = ("i", "j"), empty: float = 0.0) -> DataFrame:
+    """(axes, column) of every place of a grid: a voxel's value, `empty` where no voxel is."""
+    return grid.select(*axes).join(values.select(*axes, column), list(axes), "left").select(*axes, F.coalesce(column, F.lit(empty)).alias(column))
+
+
+def gather(volume: DataFrame, voxels: DataFrame, column: str, axes: tuple[str, ...] = ("i", "j")) -> DataFrame:
+    """(vox, column): a volume's values at the voxels."""
+    return voxels.select("vox", *axes).join(volume.select(*axes, column), list(axes)).select("vox", column)
+
+
+def voxel_sizes(affine: np.ndarray) -> np.ndarray:
+    """A voxel's size along each axis, from a 4 x 4 affine."""
+    return np.sqrt((np.asarray(affine, float)[:3, :3] ** 2).sum(axis=0))
+
+
+def halo(fwhm: float, size: float = 1.0) -> int:
+    """Voxels beyond which a kernel reaches nothing."""
+    return int(TRUNCATE * fwhm * FWHM_TO_SIGMA / size + 0.5)
+
+
 def mask_entropy(labels: DataFrame) -> DataFrame:
     """Shannon entropy in bits of the labels from 0 on; 0 if there are none."""
     from ..functions.columns import entropy_bits

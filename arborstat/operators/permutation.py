@@ -53,14 +53,24 @@ def voxel_draws(packed: DataFrame, bases: np.ndarray, intercept: np.ndarray) ->
 
 
 def tree_draws(voxels: DataFrame, tree: DataFrame) -> DataFrame:
-    """(k, level, region, nation, vox, stat): the LLR of every node under every permutation; k = 0 observed."""
-    long = voxels.join(tree, "vox").select("*", F.posexplode("a1").alias("k", "p"))
-    sums = [F.sum(c).alias(c) for c in ("size", "a0", "t", "p")]
-    grouped = long.groupingSets([["k"], ["k", "region"], ["k", "region", "nation"], ["k", "region", "nation", "vox"]], "k", *LEVELS).agg(node_level(), *sums)
+    """(k, level, region, nation, vox, stat): the LLR of every node under every permutation; k = 0 observed.
+
+    A node's draws go up the tree as one array, summed by element, and become rows only there.
+    """
+    sums = voxels.join(tree, "vox").rollup(*LEVELS).agg(node_level(), *(F.sum(c).alias(c) for c in ("size", "a0", "t")), *array_sums("a1", draw_count(voxels)))
     total = F.col("t") - F.col("a0") * F.col("a0") / F.col("size")
     error = total - F.col("p") * F.col("p") / F.col("size")
     stat = F.when((total > 0) & (error > 0), 0.5 * F.col("size") * (F.ln(total) - F.ln(error)))
-    return grouped.select("k", "level", *LEVELS, stat.alias("stat"))
+    return sums.select("level", *LEVELS, "size", "a0", "t", F.posexplode("a1").alias("k", "p")).select("k", "level", *LEVELS, stat.alias("stat"))
+
+
+def draw_count(voxels: DataFrame) -> int:
+    return voxels.agg(F.max(F.size("a1"))).first()[0] or 0
+
+
+def array_sums(column: str, n: int) -> list[Column]:
+    """The sum of arrays of n numbers, element by element, as an array: one partial sum an element and task."""
+    return [F.array(*(F.sum(F.col(column)[i]) for i in range(n))).alias(column)]
 
 
 def z_scores(draws: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -71,22 +81,23 @@ def z_scores(draws: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return draws.withColumn("z", (F.col("stat") - mu) / F.when(sd > LEAST_STD, sd).otherwise(1.0))
 
 
-def max_null(draws: DataFrame, value: str, active: Column | None = None) -> DataFrame:
-    """(k, max_stat): the largest value over the active nodes of each draw, NULL if there is none."""
+def max_null(draws: DataFrame, value: str, active: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, k, max_stat): the largest value over the active nodes of each draw, NULL if there is none."""
     c = known(F.col(value))
-    return draws.groupBy("k").agg(F.max(c if active is None else F.when(active, c)).alias("max_stat"))
+    return draws.groupBy(*keys, "k").agg(F.max(c if active is None else F.when(active, c)).alias("max_stat"))
 
 
-def rank_pvalues(observed: DataFrame, null: DataFrame, value: str, alpha: float = 0.05) -> DataFrame:
+def rank_pvalues(observed: DataFrame, null: DataFrame, value: str, alpha: float = 0.05, keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds pval and sig: the share of draws whose maximum is at least the value, and at least 1 / n.
 
-    The null has a row for each permutation, so its sorted maxima are one broadcast array.
+    By `keys` (experiments, say) each has a null of its own, a row for each permutation: its maxima are one array.
     """
-    held = null.where("max_stat is not null").agg(F.array_sort(F.collect_list("max_stat")).alias("maxima"))  # one row
+    held = null.where("max_stat is not null").groupBy(*keys).agg(F.array_sort(F.collect_list("max_stat")).alias("maxima"))
     n = F.size("maxima")
     reached = F.size(F.filter("maxima", lambda m: m >= F.col(value)))
     p = F.when(F.col(value).isNotNull() & (n > 0), F.greatest(reached / n, 1 / n))
-    return observed.crossJoin(F.broadcast(held)).withColumn("pval", p).withColumn("sig", F.col("pval") <= alpha).drop("maxima")
+    both = observed.join(held, list(keys), "left") if keys else observed.crossJoin(F.broadcast(held))  # one row without keys
+    return both.withColumn("pval", p).withColumn("sig", F.col("pval") <= alpha).drop("maxima")
 
 
 def critical_value(null: DataFrame, alpha: float = 0.05) -> DataFrame:

@@ -143,13 +143,15 @@ def false_positive_parts(regions: DataFrame, key: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """(key, pearson, spearman): average ranks on ties, by counts of each value and not by a window over rows."""
+    """(key, pearson, spearman) of the rows that have both: average ranks on ties, by counts of each value and not by a window over rows."""
+    whole = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+
     def ranks(c: str) -> DataFrame:
-        counts = df.groupBy(key, c).agg(F.count("*").alias("n"))
+        counts = whole.groupBy(key, c).agg(F.count("*").alias("n"))
         before = F.sum("n").over(Window.partitionBy(key).orderBy(c)) - F.col("n")
         return counts.select(key, c, (before + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
 
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).join(ranks(a), [key, a]).join(ranks(b), [key, b])
+    both = whole.join(ranks(a), [key, a]).join(ranks(b), [key, b])
     return both.groupBy(key).agg(F.corr(a, b).alias("pearson"), F.corr(f"rank_{a}", f"rank_{b}").alias("spearman"))
 
 

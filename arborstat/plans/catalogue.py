@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import grid, permutation, preprocess, tree_stats
+from ..tables import written
 from .panel import FEATURES, dense_panel, images, packed, table, trend_basis, voxel_tree
 
 DIGITS, N_PERM = 6, 50
@@ -104,7 +105,8 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = images(table(spark, sf_dir, "lineitem")).count()
     intercept, trend = trend_basis(n)
     bases = permutation.permuted_bases(permutation.hashed_permutations(spark, N_PERM, n), trend)
-    return permutation.tree_draws(permutation.voxel_draws(packed(panel(spark, sf_dir), "qty"), bases, intercept), voxel_tree(spark, sf_dir))
+    voxels = written(permutation.voxel_draws(packed(panel(spark, sf_dir), "qty"), bases, intercept), "voxels")
+    return written(permutation.tree_draws(voxels, voxel_tree(spark, sf_dir)), "draws")
 
 
 NODE = ("level", "region", "nation", "vox")

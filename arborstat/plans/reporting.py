@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import provenance, report, tree_stats
-from ..tables import written
 from . import fits
 from .catalogue import NODE, TARGET_NATIONS, panel, rounded
 from .panel import dense_panel, images, packed, table, trend_basis, voxel_tree
@@ -196,15 +195,8 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Voxel and cluster tests together: the extents of clusters over each draw's threshold, ranked."""
-    from ..operators.grid import cluster_extents
-    from ..operators.permutation import rank_pvalues
-
-    stats = written(fits.voxel_statistics(experiment(spark, sf_dir), design(spark, sf_dir), 1, fits.N_PERM), "stats")
-    threshold = stats.where("k > 0").agg(F.percentile("stat", F.lit(1 - fits.CFT_PVAL))).first()[0]
-    each, null = cluster_extents(stats.select("k", "vox", "i", "j", "stat"), threshold)
-    observed = each.where("k = 0").select("vox", F.col("extent").cast("double").alias("extent"))
-    return rounded(rank_pvalues(observed, null.withColumn("max_stat", F.col("max_stat").cast("double")), "extent"))
+    """Voxel and cluster tests together: the extents of clusters over the pooled null's tail, ranked."""
+    return rounded(fits.fit_clusters(experiment(spark, sf_dir), design(spark, sf_dir), 1).select("vox", "extent", "pval", "sig", "effect"))
 
 
 def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,17 +237,29 @@ def tree_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def voxel_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Voxel statistics under permutations, maxima by draw and rank p-values."""
-    from ..operators.permutation import max_null, rank_pvalues
+    """Voxel statistics under permutations, maxima by draw, rank p-values and the effects that significant voxels make."""
+    return rounded(fits.fit_voxels(experiment(spark, sf_dir), design(spark, sf_dir), 1).select("vox", "stat", "pval", "sig", "effect"))
+
+
+def enhanced_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of smoothed, scaled and standardised statistics, enhanced draw by draw."""
+    found = fits.fit_voxels(experiment(spark, sf_dir), design(spark, sf_dir), 1, 39, fwhm=2.0, scale=True, z=True, enhanced=True)
+    return rounded(found.select("vox", "stat", "pval", "sig", "effect"))
+
 
-    stats = written(fits.voxel_statistics(experiment(spark, sf_dir), design(spark, sf_dir), 1, fits.N_PERM), "stats")
-    return rounded(rank_pvalues(stats.where("k = 0").select("vox", "stat"), max_null(stats, "stat"), "stat"))
+def region_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean images and models of the regions that a fit discovers."""
+    held, d = experiment(spark, sf_dir), design(spark, sf_dir)
+    draws = fits.region_draws(held, d, 1, fits.N_PERM, fits.N_INNER)
+    nodes = draws.where("draw = 0").select("exp_id", F.inline("nodes"))
+    found = fits.estimates(fits.discovered(fits.significant_nodes(draws)), held, nodes.select("exp_id", "node", "left", "right"), d, 1)
+    return rounded(found.select("node", "size", F.col("e")[0].alias("e"), F.col("h")[0].alias("h"), "pval"))
 
 
 QUERIES = (
     sem_band, percentile_band, head_to_head, win_rates, discovery_threshold, balanced_panel, tie_table, tune_best, loglog_slope, seed_pareto, size_staircase, min_size_cutoff, common_bins, rejection_curve,
     rank_correlation, homogeneity, fp_parts, best_dice_node, region_centroids, union_score, dag_ancestors, dag_flatten, cell_complete, todo_leaves, recipe_uid, latest_records, event_windows, cluster_fit,
-    region_fit, split_fit, oracle_fit, ward_tree, tree_layout, voxel_fit,
+    region_fit, split_fit, oracle_fit, ward_tree, tree_layout, voxel_fit, enhanced_fit, region_estimates,
 )
 
 
