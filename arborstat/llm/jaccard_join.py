@@ -9,13 +9,16 @@ banded, so that d is fixed where two documents meet: a key space for each band a
 each border between bands. A block is compared by a 64-bit linear fingerprint of its bits.
 
 Blocks of few shingles are poor keys. They are left out only where d is so large that two linked
-documents would share no better block with odds under MISS, like those of a hash collision.
+documents would share no better block with odds under MISS, like those of a hash collision;
+`exact` keeps every block.
 
 Candidates: a run of documents with the same key gives links to its smallest id alone, never all
-pairs. Candidates are thinned by size and by the Hamming distance of short sketches, then verified on
-the whole sets. Only runs that links have not made one component by then are compared further,
-in blocks of bounded size; longer ones are first dealt anew by other sketches, and what is
-still long then is compared block against block.
+pairs. A run is first formed within a batch, so a key that a third of all documents have reaches the
+shuffle as a row a batch; its other members go anywhere with their batch's smallest id.
+Candidates are thinned by size and by the Hamming distance of short sketches, then verified on
+the whole sets, a star's pairs dealt out among salted copies of its centre. Only runs that links have
+not made one component by then are compared further, in blocks of bounded size; longer ones
+are first dealt anew by other sketches, and what is still long then is compared block against block.
 Copies of the same set join through one of them, whatever their number.
 
 Defined results: null or empty text and text without words give an empty set, linked with nothing;
@@ -29,17 +32,17 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Words
 from .components import components
-from .shared import join_ids, map_batches, partitions, written
+from .shared import discard, join_ids, map_batches, partitions, release, written
 
 #: Ratio of a band's ends, at least; short sketch in 64-bit words; odds of a link lost by leaving out poor blocks.
 BAND, SKETCH_WORDS, MISS = 1.5, 8, 1e-13
@@ -47,6 +50,8 @@ BAND, SKETCH_WORDS, MISS = 1.5, 8, 1e-13
 GOOD_BLOCK = 4
 #: Members of a run that are compared with each other within a task; times that longer runs are dealt anew.
 RUN, DEALS = 2048, 2
+#: Pairs of one centre that are verified with the same copy of its text; sets that a task keeps to know copies by.
+STAR, SEEN = 256, 100_000
 SETS = "doc_id long, n_shingles long, set_hash binary, sketch array<long>, copy_of long, keys array<long>"
 
 U = np.uint64
@@ -63,17 +68,12 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-@cache
-def word_hashes() -> Words:
-    return Words(xxhash.xxh3_64_intdigest)
-
-
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of a text, A-Z in lower case."""
     found = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not found:
         return np.zeros(0, U)
-    h = np.fromiter(map(word_hashes().__getitem__, found), U, len(found))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), U, len(found))
     n = max(len(h) - words + 1, 1)
     out = np.full(n, len(h) if len(h) < words else words, U)
     for k in range(min(words, len(h))):
@@ -127,8 +127,8 @@ def spaces(size: int, percent: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def sketch_keys(hashes: np.ndarray, percent: int, seed: int = 0) -> np.ndarray:
-    """The block keys of a set."""
+def sketch_keys(hashes: np.ndarray, percent: int, seed: int = 0, exact: bool = False) -> np.ndarray:
+    """The block keys of a set; exact: of every block, however few shingles it has."""
     h = hashes if not seed else np.sort(mixed(hashes, 100 + seed))
     flips, out = mixed(h, 50 + seed), []
     for space, blocks, least in spaces(len(h), percent):
@@ -138,7 +138,7 @@ def sketch_keys(hashes: np.ndarray, percent: int, seed: int = 0) -> np.ndarray:
         content[block[starts]] = np.bitwise_xor.reduceat(flips, starts)
         counts[block[starts]] = np.diff(np.append(starts, len(h)))
         keys = mixed(content ^ mixed(np.arange(blocks, dtype=U) + U(space << 32), 7 + seed), 9)
-        out.append(keys[counts >= least])
+        out.append(keys if exact else keys[counts >= least])
     return np.concatenate(out).view(np.int64)
 
 
@@ -147,8 +147,8 @@ def short_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def document_sets(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """SETS of each row. A set that its task has seen before has no keys and names the first with it."""
+def document_sets(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, exact: bool = False) -> DataFrame:
+    """SETS of each row. A set among the last SEEN of its task has no keys and names the first with it."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
@@ -157,8 +157,10 @@ def document_sets(docs: DataFrame, words: int, percent: int, id_col: str, text_c
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = shingle_set(text, words)
                 digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+                if len(seen) >= SEEN:
+                    seen.clear()  # later copies have keys of their own and meet by these
                 copy_of = doc if not len(h) or doc is None else seen.setdefault(digest, doc)
-                keys = sketch_keys(h, percent) if len(h) and copy_of == doc and doc is not None else np.zeros(0, np.int64)
+                keys = sketch_keys(h, percent, 0, exact) if len(h) and copy_of == doc and doc is not None else np.zeros(0, np.int64)
                 for column, value in zip(out, (len(h), digest, short_sketch(h), copy_of, keys), strict=True):
                     column.append(value)
             kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())]
@@ -168,8 +170,31 @@ def document_sets(docs: DataFrame, words: int, percent: int, id_col: str, text_c
     return map_batches(slim, rows, SETS)
 
 
-def key_runs(keys: DataFrame) -> DataFrame:
-    """(key, u, v): every member v of a key's run but the smallest id u, from (key, doc_id).
+def batch_runs(sets: DataFrame) -> DataFrame:
+    """(deal, key, doc, first) of each key of each document, by batch: the smallest id of a key has the key
+    itself as `deal` and no more; another has it in `key`, the batch's smallest id in `first`, and is dealt anywhere."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            key, counts = lists.flatten().to_numpy(), lists.value_lengths().fill_null(0).to_numpy()
+            doc = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts)
+            if not len(key):
+                continue
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order].astype(np.int64)
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            first = doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+            own = first == doc
+            spread = mixed(key.view(U) ^ mixed(doc.view(U), 5), 6).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(own, key, spread)), pa.array(key, mask=own), pa.array(doc), pa.array(first, mask=own)], ["deal", "key", "doc", "first"])
+
+    return map_batches(sets.where("size(keys) > 0").select("doc_id", "keys"), rows, "deal long, key long, doc long, first long")
+
+
+def key_runs(dealt: DataFrame) -> DataFrame:
+    """(key, u, v): every member v of a key's run with the smallest id u of the run or of v's batch, from `batch_runs`.
 
     Sorted rows stream past; only the current key's first id is held.
     """
@@ -177,9 +202,14 @@ def key_runs(keys: DataFrame) -> DataFrame:
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, first_id = None, 0
         for batch in batches:
+            alone = batch.column(3).is_null()
+            known = batch.filter(pa.compute.invert(alone))
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays([known.column(1), known.column(3), known.column(2)], ["key", "u", "v"])
+            batch = batch.filter(alone)
             if not batch.num_rows:
                 continue
-            key, doc = (batch.column(i).to_numpy() for i in (0, 1))
+            key, doc = (batch.column(i).to_numpy() for i in (0, 2))
             starts = np.empty(len(key), bool)
             starts[1:] = key[1:] != key[:-1]
             starts[0] = last_key is None or key[0] != last_key
@@ -189,8 +219,8 @@ def key_runs(keys: DataFrame) -> DataFrame:
             take = ~starts & (first != doc)
             yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (key, first, doc)], ["key", "u", "v"])
 
-    dealt = keys.repartition(partitions(keys.sparkSession), "key").sortWithinPartitions("key", "doc_id")
-    return map_batches(dealt, rows, "key long, u long, v long")
+    ordered = dealt.repartition(partitions(dealt.sparkSession), "deal").sortWithinPartitions("deal", "doc")
+    return map_batches(ordered, rows, "key long, u long, v long")
 
 
 def most_different(n: Column, m: Column, percent: int) -> Column:
@@ -211,10 +241,15 @@ def thinned(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(equal | near).select("u", "v", equal.alias("equal")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (u, v) that are linked, judged by the whole sets."""
+def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+    """The pairs (u, v) that are linked, judged by the whole sets, as a written table.
+
+    A centre u with many pairs has a copy of its text for each STAR of them, so that no task gets them all.
+    """
     pairs = written(pairs, "pairs")
-    ids = written(pairs.where("not equal").select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ids")
+    apart = pairs.where("not equal").select("u", "v")
+    centres = written(apart.groupBy("u").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts")), "centres")
+    ids = written(apart.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ids")
     texts = written(join_ids(docs, ids, "doc_id", "left_semi"), "texts")
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,10 +263,13 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
-    left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a"))
+    left = texts.withColumnRenamed("doc_id", "u").join(centres, "u").select("u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("a"))
     right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b"))
-    both = pairs.where("not equal").select("u", "v").join(right, "v").join(left, "u").select("u", "v", "a", "b")
-    return pairs.where("equal").select("u", "v").unionByName(map_batches(both, rows, "u long, v long"))
+    dealt = apart.join(centres, "u").select("u", "v", F.pmod(F.xxhash64("v"), "salts").cast("int").alias("salt"))
+    both = dealt.join(right, "v").join(left, ["u", "salt"]).select("u", "v", "a", "b")
+    out = written(pairs.where("equal").select("u", "v").unionByName(map_batches(both, rows, "u long, v long")), name)
+    discard(pairs, centres, ids, texts)
+    return out
 
 
 def near_in_runs(members: DataFrame, percent: int) -> DataFrame:
@@ -273,12 +311,12 @@ def near_in_runs(members: DataFrame, percent: int) -> DataFrame:
     return map_batches(dealt.select("key", "doc_id", "component_id", "n_shingles", "sketch"), rows, "u long, v long").distinct()
 
 
-def second_keys(docs: DataFrame, ids: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+def second_keys(docs: DataFrame, ids: DataFrame, words: int, percent: int, seed: int, exact: bool) -> DataFrame:
     """(doc_id, next): block keys of another sketch, for the documents in `ids`."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [sketch_keys(shingle_set(t, words), percent, seed) for t in batch.column(1).to_pylist()]
+            keys = [sketch_keys(shingle_set(t, words), percent, seed, exact) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "keys"])
 
     return map_batches(join_ids(docs, ids, "doc_id", "left_semi"), rows, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("next"))
@@ -298,33 +336,40 @@ def unresolved(members: DataFrame) -> DataFrame:
     return members.join(several.select("key", "length"), "key")
 
 
-def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row; component_id: the smallest doc_id that links reach."""
+def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row; component_id: the smallest doc_id that links reach.
+
+    exact: no block is left out as a key, whatever the odds.
+    """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = written(document_sets(docs, words, percent, "doc_id", "text"), "sets")
+    sets = written(document_sets(docs, words, percent, "doc_id", "text", exact), "sets")
     own = docs.where("doc_id is not null")
-    runs = written(key_runs(sets.select(F.explode("keys").alias("key"), "doc_id")), "runs")
-    links = written(verified(thinned(runs.select("u", "v").distinct(), sets, percent), own, words, percent), "stars")
+    runs = written(key_runs(batch_runs(sets)), "runs")
+    release(docs.sparkSession)  # the keys' shuffle
+    links = verified(thinned(runs.select("u", "v").distinct(), sets, percent), own, words, percent, "stars")
     copies = sets.where("copy_of <> doc_id").select(F.col("copy_of").alias("u"), F.col("doc_id").alias("v"))
-    found = written(components(links), "components")
-    # Links to a run's smallest id are settled; what is left is between its other members.
-    members = runs.select("key", F.col("v").alias("doc_id")).distinct()
+    found = components(links)
+    # Links to a run's smallest ids are settled; what is left is between members of different components.
+    members = runs.select("key", F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     members = members.join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    open_runs, more, seed = written(unresolved(members), "open"), links, 0
+    open_runs, more, seed = written(unresolved(members), "open"), [links], 0
+    discard(runs, found)
     side = sets.where("copy_of = doc_id").select("doc_id", "n_shingles", "sketch")
     while not open_runs.isEmpty():
         near = near_in_runs(open_runs.where(F.col("length") <= RUN).join(side, "doc_id"), percent)
-        more = more.unionByName(written(verified(thinned(near, sets, percent), own, words, percent), "more"))
+        more.append(verified(thinned(near, sets, percent), own, words, percent, "more"))
         long_runs = open_runs.where(F.col("length") > RUN)
         if long_runs.isEmpty():
             break
         seed += 1
         if seed > DEALS:
             near = near_in_runs(block_pairs(long_runs).join(side, "doc_id"), percent)
-            more = more.unionByName(written(verified(thinned(near, sets, percent), own, words, percent), "more"))
+            more.append(verified(thinned(near, sets, percent), own, words, percent, "more"))
             break
         ids = written(long_runs.select("doc_id").distinct(), "ids")
-        dealt = long_runs.drop("length").join(second_keys(own, ids, words, percent, seed), "doc_id").withColumn("key", F.xxhash64("key", "next")).drop("next")
-        open_runs = written(unresolved(dealt), "open")
-    found = components(more.unionByName(copies))
+        dealt = long_runs.drop("length").join(second_keys(own, ids, words, percent, seed, exact), "doc_id").withColumn("key", F.xxhash64("key", "next")).drop("next")
+        old, open_runs = open_runs, written(unresolved(dealt), "open")
+        discard(old, ids)
+    found = components(reduce(DataFrame.unionByName, more).unionByName(copies))
+    discard(open_runs, *more)
     return sets.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
