@@ -31,7 +31,7 @@ class Files:
             column.tofile(name)
         for name in old:
             os.remove(name)
-        return [np.memmap(name, np.uint8, "r") for name in self.names]
+        return [np.memmap(name, column.dtype, "r") for name, column in zip(self.names, columns, strict=True)]
 
     def close(self) -> None:
         for name in self.names:
@@ -41,7 +41,7 @@ class Files:
 
 def merged(old: np.ndarray, rows: np.ndarray, new: np.ndarray, fresh: np.ndarray) -> np.ndarray:
     """`old` with `new` at `rows` of the result; fresh: mask of the result's rows that are new."""
-    out = np.empty(len(old) + len(rows), np.uint8)
+    out = np.empty(len(old) + len(rows), old.dtype)
     out[rows] = new
     out[~fresh] = old
     return out
@@ -50,17 +50,18 @@ def merged(old: np.ndarray, rows: np.ndarray, new: np.ndarray, fresh: np.ndarray
 def least_between(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """min(values[first : last + 1]) of each pair."""
     if not len(first):
-        return np.zeros(0, np.uint8)
-    padded = np.append(values, np.uint8(255))
+        return np.zeros(0, values.dtype)
+    padded = np.append(values, values[:1])  # reduceat needs a place beyond the last row
     return np.minimum.reduceat(padded, np.stack([first, last + 1], axis=1).ravel())[::2]
 
 
-def build(strings: list[bytes], folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(transform, common prefixes up to 255) of the strings, whose bytes are below 255.
+def build(strings: list[bytes], folder: str | None = None, most: int = 255) -> tuple[np.ndarray, np.ndarray]:
+    """(transform, common prefixes up to `most` at least) of the strings, whose bytes are below 255.
 
     Symbol 0 ends a string, byte b is b + 1; ends compare by the strings' order.
     """
-    m = len(strings)
+    m, kind = len(strings), np.uint8 if most <= 255 else np.uint16 if most <= 65535 else np.uint32
+    top = np.iinfo(kind).max - 1
     lengths = np.fromiter(map(len, strings), np.int64, m)
     ends = np.cumsum(lengths)
     text = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1) if ends[-1:].sum() else np.zeros(0, np.uint8)
@@ -74,7 +75,7 @@ def build(strings: list[bytes], folder: str | None = None) -> tuple[np.ndarray,
 
     files = Files(folder)
     who, at = np.arange(m), np.arange(m)
-    bwt, lcp = files.write(symbol(who, 0), np.zeros(m, np.uint8))
+    bwt, lcp = files.write(symbol(who, 0), np.zeros(m, kind))
     done = 0
     while True:
         going = lengths[who] > done
@@ -91,13 +92,13 @@ def build(strings: list[bytes], folder: str | None = None) -> tuple[np.ndarray,
         first = bwt[at]
         above = order[rank - 1]  # rank is at least 1 or its row has no c above it
         tied = (rank > 0) & (bwt[above] == first)
-        prefix = np.zeros(len(rows), np.uint8)
+        prefix = np.zeros(len(rows), kind)
         low = least_between(lcp, above[tied] + 1, at[tied])
-        prefix[tied] = np.minimum(low, 254) + 1
+        prefix[tied] = np.minimum(low, top) + 1
         below_rank = np.minimum(rank + 1, len(order) - 1)
         below = order[below_rank]
         next_tied = (rank + 1 < len(order)) & (bwt[below] == first)
-        next_low = np.minimum(least_between(lcp, at[next_tied] + 1, below[next_tied]), 254) + 1
+        next_low = np.minimum(least_between(lcp, at[next_tied] + 1, below[next_tied]), top) + 1
         fresh = np.zeros(len(bwt) + len(rows), bool)
         fresh[rows] = True
         done += 1
@@ -127,7 +128,7 @@ def suffix_rows(bwt: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def repeated_starts(strings: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, start, class) of every substring of `size` bytes that occurs twice or more."""
     lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-    bwt, lcp = build(strings)
+    bwt, lcp = build(strings, most=size)
     rows = suffix_rows(bwt, lengths)[:, size:]
     who, over = np.nonzero(rows >= 0)
     group = np.cumsum(lcp < size)[rows[who, over]]

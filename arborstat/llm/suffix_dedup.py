@@ -1,12 +1,13 @@
 """Removal of passages that repeat: every byte of a string of `size` bytes that also starts earlier.
 
 Anchors bring equal strings together without sorting every suffix of the corpus: the anchor of a
-string is its smallest-hashed substring of half its size, the leftmost of such. Equal strings have
+string is its smallest-hashed substring of two fifths of its size, the leftmost of such. Equal strings have
 the same anchor at the same place. A document is cut into runs of strings with one anchor; a run
-and its bytes make a context (some 125 bytes), and a string stands in one context only.
+and its bytes make a context (some 130 bytes), and a string stands in one context only.
 
-Contexts with equal anchor and equal bytes, by hashes of 128 bits together, are copies: all but
-the earliest are covered whole. What is left, anchors with different contexts, is where repeated passages
+Contexts with equal anchor and equal bytes are copies: all but the earliest are covered whole. Bytes
+are told apart by the 128 bits of BLAKE2b that a context has of its own; the anchor's hash only groups, and
+grams that collide in it meet as different contexts. What is left, anchors with different contexts, is where repeated passages
 begin, end or differ. These contexts go, by anchor, into blocks of bounded size, for each of which
 the collection's Burrows-Wheeler transform and common prefixes are built column by column (`bwt`);
 rows with a common prefix of `size` bytes are equal strings. Anchors with more contexts than a block
@@ -17,7 +18,8 @@ Copies within an Arrow batch are found before the shuffle, so a hot passage is d
 Defined results: null text is empty; texts shorter than `size` lose nothing; documents are ordered by
 doc_id, and where ids are null or repeat, by doc_id (null first) and text, a repeated row being a later
 document; an empty table gives no rows; further columns are ignored. Removed runs are bytes: a cut inside a
-letter leaves an incomplete letter, which `kept` holds as it is.
+letter leaves an incomplete letter, which `kept` holds as it is. A `size` outside 5 to 6,000 is a ValueError,
+and so is a column to keep that has the name of a result.
 """
 
 from __future__ import annotations
@@ -31,16 +33,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import repeated_starts
-from .shared import join_ids, map_batches, partitions, release, written
+from .shared import discard, join_ids, map_batches, partitions, release, written
 
 U = np.uint64
 #: Contexts of a block and, so, of an anchor that is resolved in one.
 BLOCK = 4096
-#: Bytes that are hashed in one go.
-PIECE = 4 << 20
+#: Bytes that are hashed in one go: a worker holds some hundred bytes for each.
+PIECE = 256 << 10
+#: Sizes of a passage for which span and place of a packed run fit their bits.
+SIZES = range(5, 6001)
+RESULTS = ("doc", "doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept", "found")
 #: Of a packed run: its first string's start, the strings after it, the anchor's place in it, covered already.
 START, SPAN, COVERED = 24, 12, 1 << 62
-ROWS = "anchor long, context long, doc long, run long"
+ROWS = "anchor long, context long, check long, doc long, run long"
+NAMES = ["anchor", "context", "check", "doc", "run"]
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
@@ -68,17 +74,14 @@ class Hasher:
         n = len(self.sums) - size
         return scrambled((self.sums[size:] - self.sums[:n]) * self.down[:n])
 
-    def between(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return (self.sums[stop] - self.sums[first]) * self.down[first]
-
 
 def anchor_runs(hasher: Hasher, data: bytes, ends: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """Runs of strings with one anchor, of texts that stand on end: first and last start, anchor, both hashes."""
+    """Runs of strings with one anchor, of texts that stand on end: first and last start, anchor, its hash, the context's two words."""
     raw = np.frombuffer(data, np.uint8)
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),) * 2
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),) + (np.zeros(0, np.int64),) * 2
     if len(raw) < size:
         return none
-    half = size // 2
+    half = size * 2 // 5
     hasher.read(raw)
     grams = hasher.each(half)
     keyed = (grams >> U(24) << U(24)) | np.arange(len(grams), dtype=U)  # the leftmost of equals is least
@@ -103,8 +106,9 @@ def anchor_runs(hasher: Hasher, data: bytes, ends: np.ndarray, size: int) -> tup
     begins = np.flatnonzero(new)
     last = first[np.append(begins[1:], len(first)) - 1]
     first, anchor = first[begins], anchor[begins]
-    context = scrambled(hasher.between(first, last + size) + (anchor - first).astype(U) * U(0x5851F42D4C957F2D))
-    return first, last, anchor, scrambled(grams[anchor]), context
+    digests = b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (last + size).tolist(), strict=True)])
+    context = np.frombuffer(digests, "<i8").reshape(-1, 2)
+    return first, last, anchor, scrambled(grams[anchor]), context[:, 0], context[:, 1]
 
 
 def packed_run(start: np.ndarray, span: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -131,11 +135,11 @@ def context_rows(docs: DataFrame, size: int) -> DataFrame:
 
             def flush() -> None:
                 ends = np.cumsum([len(x) for x in held])
-                first, last, anchor, gram, context = anchor_runs(hasher, b"".join(held), ends, size)
+                first, last, anchor, gram, context, check = anchor_runs(hasher, b"".join(held), ends, size)
                 which = np.searchsorted(ends, first, side="right")
                 doc, base = np.array([o[0] for o in owners], np.int64)[which], np.array([o[1] for o in owners], np.int64)[which]
                 begin = np.concatenate([[0], ends[:-1]])[which]
-                parts.append((gram.view(np.int64), context.view(np.int64), doc, packed_run(first - begin + base, last - first, anchor - first)))
+                parts.append((gram.view(np.int64), context, check, doc, packed_run(first - begin + base, last - first, anchor - first)))
                 held.clear()
                 owners.clear()
 
@@ -155,42 +159,42 @@ def context_rows(docs: DataFrame, size: int) -> DataFrame:
                 flush()
             if not parts:
                 continue
-            anchor, context, doc, run = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            order = np.lexsort((run, doc, context, anchor))
-            anchor, context, doc, run = anchor[order], context[order], doc[order], run[order]
+            anchor, context, check, doc, run = (np.concatenate([p[i] for p in parts]) for i in range(5))
+            order = np.lexsort((run, doc, check, context, anchor))
+            anchor, context, check, doc, run = (x[order] for x in (anchor, context, check, doc, run))
             copy = np.zeros(len(anchor), bool)
-            copy[1:] = (anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1])
+            copy[1:] = (anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1]) & (check[1:] == check[:-1])
             spread = scrambled(doc.view(U) * U(0x9E3779B97F4A7C15) + run.view(U)).view(np.int64)
             anchor, run = np.where(copy, spread, anchor), np.where(copy, run | COVERED, run)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, context, doc, run)], ["anchor", "context", "doc", "run"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, context, check, doc, run)], NAMES)
 
     return map_batches(docs, rows, ROWS)
 
 
 def sorted_copies(contexts: DataFrame) -> DataFrame:
-    """ROWS with `open`: contexts whose anchor has others (true) and copies of an earlier one (false).
+    """(anchor, doc, run, open): contexts whose anchor has others (true) and copies of an earlier one (false).
 
     Sorted rows stream past; the last row and the last distinct context are all that is held.
     """
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int] | None = None
-        held: list[np.ndarray] | None = None  # the last distinct context: anchor, context, doc, run
+        last: tuple[int, int, int] | None = None
+        held: list[np.ndarray] | None = None  # the last distinct context, as NAMES
         told = False  # it has been passed on
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(i).to_numpy() for i in range(4)]
-            anchor, context, doc, run = columns
+            columns = [batch.column(i).to_numpy() for i in range(5)]
+            anchor, context, check, doc, run = columns
             done = (run & COVERED) != 0
             fresh = np.ones(len(anchor), bool)
             live = np.flatnonzero(~done)
             if len(live):
-                a, c = anchor[live], context[live]
+                a, c, d = anchor[live], context[live], check[live]
                 new = np.ones(len(live), bool)
-                new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-                new[0] = last is None or (a[0], c[0]) != last
-                last = (a[-1], c[-1])
+                new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])
+                new[0] = last is None or (a[0], c[0], d[0]) != last
+                last = (a[-1], c[-1], d[-1])
                 fresh[live] = new
             copies = done | ~fresh
             reps = [x[~copies] for x in columns]
@@ -209,10 +213,10 @@ def sorted_copies(contexts: DataFrame) -> DataFrame:
             else:
                 out, is_open = [x[copies] for x in columns], np.zeros(0, bool)
             flags = np.concatenate([np.zeros(int(copies.sum()), bool), np.ones(int(is_open.sum()), bool)])
-            yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(flags)], ["anchor", "context", "doc", "run", "open"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[3]), pa.array(out[4]), pa.array(flags)], ["anchor", "doc", "run", "open"])
 
-    dealt = contexts.repartition(partitions(contexts.sparkSession), "anchor").sortWithinPartitions("anchor", "context", "doc", "run")
-    return map_batches(dealt, rows, ROWS + ", open boolean")
+    dealt = contexts.repartition(partitions(contexts.sparkSession), "anchor").sortWithinPartitions("anchor", "context", "check", "doc", "run")
+    return map_batches(dealt, rows, "anchor long, doc long, run long, open boolean")
 
 
 def context_bytes(docs: DataFrame, open_rows: DataFrame, size: int) -> DataFrame:
@@ -323,6 +327,8 @@ def remove_repeats(docs: DataFrame, size: int = 100, id_col: str = "doc_id", tex
 
     kept: the remaining bytes, or as_text, the text that they are without letters that a cut left incomplete.
     """
+    if size not in SIZES or set(keep) & set(RESULTS):
+        raise ValueError(f"size must be in {SIZES} and keep without {RESULTS}")
     spark, kinds = docs.sparkSession, dict(docs.dtypes)
     docs = numbered(docs, id_col, text_col, keep)
     texts = docs.select("doc", "text")
@@ -331,7 +337,8 @@ def remove_repeats(docs: DataFrame, size: int = 100, id_col: str = "doc_id", tex
     open_rows = marked.where("open").select("anchor", "doc", "run")
     large = written(open_rows.groupBy("anchor").count().where(F.col("count") > BLOCK // 2).select("anchor"), "large")
     contexts = context_bytes(texts, open_rows, size)
-    if large.isEmpty():
+    large_is_empty = large.isEmpty()
+    if large_is_empty:
         found = block_repeats(contexts, size)
     else:
         contexts = written(contexts, "contexts")
@@ -339,6 +346,7 @@ def remove_repeats(docs: DataFrame, size: int = 100, id_col: str = "doc_id", tex
     start = F.shiftright(F.col("run").bitwiseAND(F.lit(COVERED - 1)), START)
     copied = marked.where("not open").select("doc", start.alias("first"), (start + F.shiftright("run", SPAN).bitwiseAND(F.lit(0xFFF)) + size).alias("stop"))
     covered = written(found.unionByName(copied), "covered")
+    discard(marked, large, *([] if large_is_empty else [contexts]))
     release(spark)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

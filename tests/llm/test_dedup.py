@@ -5,10 +5,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arborstat.llm import jaccard_join, suffix_dedup
+from arborstat.llm import exact_dedup, jaccard_join, suffix_dedup
 from arborstat.llm.bwt import build, repeated_starts
 from arborstat.llm.components import components
 from arborstat.llm.exact_dedup import stream_dedup, without_copies
+from arborstat.llm.shared import new_path
 
 from .common import documents, frame, generated, near_components, odd_rows, repeated_rows, without_repeats
 
@@ -35,6 +36,28 @@ def test_exact_dedup(spark, weak):
     assert all(r.kept == (r.doc_id == r.keep_id) for r in got) and len(got) == len(rows)
 
 
+def test_exact_dedup_goes_on_from_its_state(spark, monkeypatch):
+    """Two arrivals into one folder are judged like one, the second against the first; also without broadcasts and with a weak digest."""
+    weak = {"digest": lambda c: F.unhex(F.lpad(F.hex(F.pmod(F.crc32(c.cast("binary")), F.lit(5))), 2, "0"))}
+    rows = [*odd_rows(), *((100 + k, *r[1:]) for k, r in enumerate(generated(60)))]
+    first, second = rows[::2], [*rows[1::2], *((200 + r[0], *r[1:]) for r in rows[::4])]
+    for limit, how in ((exact_dedup.BROADCAST_HITS, {}), (0, {}), (0, weak)):
+        monkeypatch.setattr(exact_dedup, "BROADCAST_HITS", limit)
+        folder = new_path(spark, "arrivals")
+        early = stream_dedup(frame(spark, first), folder=folder, **how).collect()
+        assert {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in early} == exact_groups([r[:2] for r in first])
+        late = stream_dedup(frame(spark, second), folder=folder, **how).collect()
+        want = exact_groups([r[:2] for r in [*first, *second]])
+        assert {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in late} == {r[0]: want[r[0]] for r in second}
+        assert all(r.kept == (r.doc_id == r.keep_id) for r in late)
+
+
+def test_rows_with_one_id_and_text(spark):
+    """Of rows that share an id and a text but for white space, the one with most code points stays; clashing names stay."""
+    df = spark.createDataFrame([(1, "a b", 1), (1, "a  b", 2), (1, "a b ", 3), (1, "other", 4), (None, None, 5), (2, "", 6)], "doc_id long, text string, keep_id int")
+    assert sorted(r.keep_id for r in without_copies(df.withColumn("digest", F.lit("x"))).collect()) in ([2, 4, 6], [3, 4, 6])
+
+
 def test_exact_dedup_of_repeated_and_empty(spark):
     rows = repeated_rows()
     got = stream_dedup(frame(spark, rows)).collect()
@@ -80,6 +103,25 @@ def test_suffix_dedup(spark, monkeypatch, block):
     assert {r.doc_id: r.lang for r in got} == {r[0]: r[2] for r in rows}
 
 
+@pytest.mark.parametrize("size", [64, 255, 256, 300])
+def test_suffix_dedup_of_other_sizes(spark, size):
+    """Also of structured strings, on which hashes that are linear in the bytes collide."""
+    odd = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    turned = odd.translate({97: "b", 98: "a"})
+    shared = generated(1, 9)[0][1][:50] + "".join(f"{k} passage " for k in range(60))
+    texts = [odd, turned, "x" + odd[:1024] + turned[1024:], turned[7:], *(t[:200] + shared + t[200:] for _, t, *_ in generated(12, 4)), "ab" * 700]
+    rows = [(k, t, None, None, None, None, None, None) for k, t in enumerate(texts)]
+    got = suffix_dedup.remove_repeats(frame(spark, rows), size).collect()
+    assert {r.doc_id: (bytes(r.kept), r.n_removed, r.n_spans) for r in got} == without_repeats([r[:2] for r in rows], size)
+
+
+def test_suffix_dedup_refuses(spark):
+    df = frame(spark, odd_rows())
+    for size, keep in ((4, ()), (6001, ()), (100, ("kept",))):
+        with pytest.raises(ValueError):
+            suffix_dedup.remove_repeats(df.withColumn("kept", F.lit(1)), size, keep=keep)
+
+
 def test_suffix_dedup_of_repeated_and_empty(spark):
     rows = repeated_rows()
     got = suffix_dedup.remove_repeats(frame(spark, rows), 50).collect()
@@ -125,6 +167,37 @@ def test_jaccard_join_with_long_runs(spark, monkeypatch):
     assert got == near_components([r[:2] for r in rows], 3, 80)
 
 
+def test_blocks_that_are_left_out(spark):
+    """Long sets leave out poor blocks; nothing differs from a run with the keys of every block."""
+    rng, rows = random.Random(6), []
+    for c in range(4):
+        base = [f"w{rng.randrange(5000)}" for _ in range(2500)]
+        for k in range(6):
+            own = list(base)
+            for _ in range(rng.choice((5, 40, 70, 90))):
+                own[rng.randrange(len(own))] = f"v{rng.randrange(5000)}"
+            rows.append((6 * c + k, " ".join(own), None, None, None, None, None, None))
+    one = jaccard_join.shingle_set(rows[0][1], 5)
+    assert len(jaccard_join.sketch_keys(one, 80)) < len(jaccard_join.sketch_keys(one, 80, exact=True))
+    got, whole = (sorted(map(tuple, jaccard_join.near_components(frame(spark, rows), 5, 80, exact=e).collect())) for e in (False, True))
+    assert got == whole and {d: (n, c) for d, n, c in got} == near_components([r[:2] for r in rows], 5, 80)
+
+
+def test_stars_with_salted_centres(spark, monkeypatch):
+    """A centre with more pairs than one copy of its text takes; keys that most documents share."""
+    monkeypatch.setattr(jaccard_join, "STAR", 2)
+    monkeypatch.setattr(jaccard_join, "SEEN", 3)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(900)}" for _ in range(60)]
+    rows = []
+    for k in range(80):
+        own = list(base)
+        own[rng.randrange(60)] = f"v{k}"
+        rows.append((k, " ".join(own if k % 3 else base), None, None, None, None, None, None))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_components(frame(spark, rows).repartition(7), 3, 80).collect()}
+    assert got == near_components([r[:2] for r in rows], 3, 80)
+
+
 def test_jaccard_join_of_repeated_and_empty(spark):
     got = jaccard_join.near_components(frame(spark, repeated_rows()), 3, 90).collect()
     assert len(got) == len(repeated_rows()) and {r.component_id for r in got if r.doc_id is None} == {None}
