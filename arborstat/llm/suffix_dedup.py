@@ -36,8 +36,8 @@ from .bwt import repeated_starts
 from .shared import discard, join_ids, map_batches, partitions, release, written
 
 U = np.uint64
-#: Contexts of a block and, so, of an anchor that is resolved in one.
-BLOCK = 4096
+#: Contexts of an anchor that is resolved in one block, at most twice; contexts from which a block ends with an anchor.
+BLOCK, FILL = 4096, 512
 #: Bytes that are hashed in one go: a worker holds some hundred bytes for each.
 PIECE = 256 << 10
 #: Sizes of a passage for which span and place of a packed run fit their bits.
@@ -271,10 +271,9 @@ def block_repeats(contexts: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             while batch.num_rows:
                 anchor = batch.column(0).to_numpy()
-                if n < BLOCK // 2:
-                    # Fill up to the last whole anchor that is known to be whole.
-                    take = batch.num_rows
-                else:
+                if n < FILL:
+                    take = min(batch.num_rows, FILL - n)
+                else:  # to the end of the anchor that the block has reached
                     same = held[-1].column(0)[-1].as_py()
                     take = int(np.argmax(anchor != same)) if (anchor != same).any() else batch.num_rows
                     if take < batch.num_rows:
@@ -283,7 +282,6 @@ def block_repeats(contexts: DataFrame, size: int) -> DataFrame:
                         yield resolve(held)
                         held, n, batch = [], 0, batch.slice(take)
                         continue
-                take = min(take, BLOCK // 2) if n < BLOCK // 2 else take
                 held.append(batch.slice(0, take))
                 n += take
                 batch = batch.slice(take)
@@ -312,6 +310,18 @@ def hashed_repeats(contexts: DataFrame, size: int) -> DataFrame:
     return later.select("doc", "first", (F.col("first") + size).alias("stop"))
 
 
+def merged_runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans' union as runs in order, none touching the next."""
+    out: list[tuple[int, int]] = []
+    for first, stop in sorted(spans):
+        if out and first <= out[-1][1]:
+            if stop > out[-1][1]:
+                out[-1] = (out[-1][0], stop)
+        else:
+            out.append((first, stop))
+    return out
+
+
 def numbered(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     """(doc, doc_id, text) and `keep`, with an own number in order, which is doc_id unless ids are null or repeat."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *keep)
@@ -354,14 +364,12 @@ def remove_repeats(docs: DataFrame, size: int = 100, id_col: str = "doc_id", tex
             out: list[list] = [[], [], [], []]
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = text.encode()
-                mask = np.zeros(len(raw) + 1, np.int32)
-                if found:
-                    spans = np.array([(x["first"], x["stop"]) for x in found], np.int64)
-                    np.add.at(mask, spans[:, 0], 1)
-                    np.add.at(mask, spans[:, 1], -1)
-                gone = np.cumsum(mask[:-1]) > 0
-                edges = np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                runs = merged_runs([(x["first"], x["stop"]) for x in found]) if found else []
+                edges, at, left = len(runs), 0, []
+                for first, stop in runs:
+                    left.append(raw[at:first])
+                    at = stop
+                kept = b"".join([*left, raw[at:]]) if runs else raw
                 for column, value in zip(out, (len(raw), len(raw) - len(kept), int(edges), kept.decode("utf-8", "ignore") if as_text else kept), strict=True):
                     column.append(value)
             cuts = [pa.array(c, k) for c, k in zip(out, [pa.int64()] * 3 + [pa.string() if as_text else pa.binary()], strict=True)]
