@@ -102,3 +102,33 @@ def rank_pvalues(observed: DataFrame, null: DataFrame, value: str, alpha: float
 
 def critical_value(null: DataFrame, alpha: float = 0.05) -> DataFrame:
     return null.agg(F.percentile(known(F.col("max_stat")), F.lit(1 - alpha)).alias("critical"))
+
+
+def draw_summary(draws: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """((keys, stat, mu, std, z), (k, max_stat)): every node's observed value among its draws, and each draw's largest z."""
+    z = z_scores(draws, keys)
+    node = Window.partitionBy(*keys)
+    whole = z.withColumns({"mu": F.avg(known(F.col("stat"))).over(node), "std": F.stddev_samp(known(F.col("stat"))).over(node)})
+    return whole.where("k = 0").select(*keys, "stat", "mu", "std", "z"), max_null(z, "z")
+
+
+def inner_count_sweep(draws: DataFrame, keys: tuple[str, ...], counts: tuple[int, ...]) -> DataFrame:
+    """(keys, m, z): the observed value's z among the first m draws and itself, for every m, from one deepest walk.
+
+    One pass: each count's moments are sums over the draws up to it, added up before the shuffle.
+    """
+    stat = known(F.col("stat"))
+    parts = [c for m in counts for c in (F.avg(F.when(F.col("k") <= m, stat)).alias(f"mu_{m}"), F.stddev_samp(F.when(F.col("k") <= m, stat)).alias(f"sd_{m}"))]
+    wide = draws.groupBy(*keys).agg(F.max(F.when(F.col("k") == 0, stat)).alias("stat"), *parts)
+    rows = F.array(*(F.struct(F.lit(m).alias("m"), ((F.col("stat") - F.col(f"mu_{m}")) / F.when(F.col(f"sd_{m}") > LEAST_STD, F.col(f"sd_{m}")).otherwise(1.0)).alias("z")) for m in counts))
+    return wide.select(*keys, F.inline(rows))
+
+
+def voxel_statistics_walk(voxels: DataFrame, statistics: tuple[str, ...] = ("llr", "wilks", "pillai", "hotelling", "roy")) -> DataFrame:
+    """(k, vox, statistic, value): several statistics of one feature under every permutation, from one walk's projections."""
+    from ..functions.columns import five_statistics
+
+    long = voxels.select("vox", "a0", "t", F.posexplode("a1").alias("k", "p"))
+    h = F.col("p") * F.col("p")
+    found = five_statistics(F.col("t") - F.col("a0") * F.col("a0") - h, h, F.lit(1.0))
+    return long.select("k", "vox", *(found[s].alias(s) for s in statistics)).unpivot(["k", "vox"], list(statistics), "statistic", "value")
