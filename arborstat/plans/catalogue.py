@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import grid, permutation, preprocess, tree_stats
@@ -54,9 +54,11 @@ def offset_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third image, in reverse order."""
-    months = images(table(spark, sf_dir, "lineitem")).where("img % 3 = 0")
-    chosen = months.select(F.col("img").alias("old_img"), (F.expr("row_number() over (order by img desc)") - 1).cast("int").alias("new_img"))
+    """All images in reverse order, the even ones again behind them."""
+    months = images(table(spark, sf_dir, "lineitem")).select("img")
+    order = F.when(F.col("again"), F.col("img")).otherwise(-F.col("img"))
+    both = months.withColumn("again", F.lit(False)).unionByName(months.where("img % 2 = 0").withColumn("again", F.lit(True)))
+    chosen = both.select(F.col("img").alias("old_img"), (F.row_number().over(Window.orderBy("again", order)) - 1).cast("int").alias("new_img"))  # a row an image
     return rounded(preprocess.select_images(panel(spark, sf_dir), chosen).select("vox", "img", "qty"))
 
 
@@ -148,8 +150,6 @@ def part_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def brand_order():
-    from pyspark.sql import Window
-
     return Window.orderBy("p_brand")
 
 
@@ -170,10 +170,11 @@ def grid_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_extent_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Draw k adds a multiple of the cell's place to its value; the extents of each draw's clusters."""
+    """Draw k adds a multiple of the cell's place to its value; every cell's extent and its draw's largest."""
     cells = part_grid(spark, sf_dir).crossJoin(F.broadcast(spark.range(4).select(F.col("id").cast("int").alias("k"))))
     stats = cells.select("k", "vox", "i", "j", (F.col("val") + F.col("k") * F.pmod(F.col("i") * 7 + F.col("j") * 13, F.lit(100))).alias("stat"))
-    return grid.cluster_extents(stats, 1500.0)[1]
+    each, null = grid.cluster_extents(stats, 1500.0)
+    return each.join(F.broadcast(null), "k")  # a row a draw
 
 
 def price_image(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,12 +182,9 @@ def price_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfce_enhance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five steps of its SQL; `tfce_full` takes all heights."""
-    return rounded(grid.enhance(price_image(spark, sf_dir), steps=5))
-
-
-def tfce_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(grid.enhance(price_image(spark, sf_dir)))
+    """All hundred heights; every eleventh cell is unknown."""
+    image = price_image(spark, sf_dir).withColumn("stat", F.when(F.col("vox") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("stat")))
+    return rounded(grid.enhance(image))
 
 
 def grid_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,8 +192,10 @@ def grid_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_inflate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of the upper tenth, grown by one."""
     cells = part_grid(spark, sf_dir)
-    return grid.inflate(cells.where("i % 10 = 0 and j % 7 = 0"), cells, 1).select("vox", "i", "j")
+    top = cells.agg(F.percentile("val", F.lit(0.9)).alias("top"))
+    return grid.inflate(cells.crossJoin(F.broadcast(top)).where("val >= top"), cells, 1).select("vox", "i", "j")
 
 
 def grid_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +209,7 @@ def entropy_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     panel_fill, voxel_screen, whiten_moments, zero_mean_scale, sigma_stretch, offset_patch, image_select, leading_images, group_split_cut, tree_node_sum, tree_confusion, tree_eh_b1, tree_llr_scan,
     five_stats_unpivot, tree_llr_b2, perm_table_md5, perm_draws, draw_zscore, max_stat_null, fwer_pvalues, critical_value, voxel_stat_matrix, cft_quantile, neighbor_join, grid_components,
-    cluster_extent_test, tfce_enhance, tfce_full, grid_smooth, grid_inflate, grid_bbox, entropy_bits,
+    cluster_extent_test, tfce_enhance, grid_smooth, grid_inflate, grid_bbox, entropy_bits,
 )
 
 

@@ -49,6 +49,12 @@ reach AS (SELECT {k}vox, vox AS comp FROM {cells} UNION SELECT {kr}e.v AS vox, r
 comps AS (SELECT {k}vox, min(comp) AS comp FROM reach GROUP BY {k}vox)"""
 
 
+def least_labels(cells: str) -> str:
+    """comps (step, vox, comp) of `cells` over `edges`: a voxel's label falls to its neighbours' least until none does."""
+    return f"""comps(step, vox, comp) USING KEY (step, vox) AS (SELECT step, vox, vox FROM {cells} UNION
+(SELECT e.step, e.v, min(c.comp) FROM comps c JOIN edges e ON e.step = c.step AND e.u = c.vox JOIN recurring.comps o ON o.step = e.step AND o.vox = e.v WHERE c.comp < o.comp GROUP BY e.step, e.v)),"""
+
+
 def r(column: str, name: str | None = None) -> str:
     return f"round({column}, {DIGITS}) AS {name or column}"
 
@@ -80,7 +86,7 @@ SELECT vox, q <= 0.9 * mq OR p <= 0.9 * mp OR d <= 0.9 * md AS dead FROM s CROSS
         "zero_mean_scale": f"{with_panel} SELECT vox, img, " + ", ".join(r(f"({f} - (SELECT avg({f}) FROM panel)) / (SELECT stddev_samp({f}) FROM panel)", f) for f in ("qty", "price", "disc")) + " FROM panel",
         "sigma_stretch": f"{with_panel} SELECT vox, img, " + ", ".join(r(f"avg({f}) OVER (PARTITION BY img) + 1.5 * ({f} - avg({f}) OVER (PARTITION BY img))", f) for f in ("qty", "price", "disc")) + " FROM panel",
         "offset_patch": f"{with_panel} SELECT vox, img, {r(f'qty + CASE WHEN {TARGET} THEN 0.5 * img ELSE 0 END', 'qty')} FROM panel JOIN tree USING (vox)",
-        "image_select": f"{with_panel}, s AS (SELECT img AS old_img, CAST(row_number() OVER (ORDER BY img DESC) - 1 AS INTEGER) AS img FROM months WHERE img % 3 = 0) SELECT vox, s.img, {r('qty')} FROM panel JOIN s ON panel.img = old_img",
+        "image_select": f"{with_panel}, s AS (SELECT img AS old_img, CAST(row_number() OVER (ORDER BY again, CASE WHEN again THEN img ELSE -img END) - 1 AS INTEGER) AS img FROM (SELECT img, false AS again FROM months UNION ALL SELECT img, true FROM months WHERE img % 2 = 0)) SELECT vox, s.img, {r('qty')} FROM panel JOIN s ON panel.img = old_img",
         "leading_images": f"{with_panel} SELECT vox, img, {r('qty')} FROM panel WHERE img < 12",
         "group_split_cut": """WITH g AS (SELECT s_nationkey AS grp, count(*) AS n FROM supplier GROUP BY 1),
 o AS (SELECT grp, n, row_number() OVER w AS pos, sum(n) OVER w AS cum FROM g WINDOW w AS (ORDER BY md5(grp::VARCHAR), grp)),
@@ -112,14 +118,17 @@ SELECT level, region, nation, vox, z, {r('pval')}, pval <= 0.05 AS sig FROM p"""
         "cft_quantile": f"{with_draws} SELECT {r('quantile_cont(stat, 0.95)', 'threshold')}, count(stat) AS n FROM draws WHERE level = 3 AND k > 0",
         "neighbor_join": f"WITH {GRID} SELECT a.vox, count(*) AS n, {r('avg(b.val)', 'near')} FROM cells a JOIN cells b ON abs(a.i - b.i) + abs(a.j - b.j) = 1 GROUP BY a.vox",
         "grid_components": f"WITH RECURSIVE {GRID}, {components('over_mid')} SELECT vox, comp FROM comps",
-        "cluster_extent_test": f"""WITH RECURSIVE {GRID}, st AS (SELECT k, vox, i, j, val + k * ((i * 7 + j * 13) % 100) AS stat FROM cells CROSS JOIN range(4) r(k)), ov AS (SELECT * FROM st WHERE stat >= 1500), {components('ov', 'k')}
-SELECT CAST(s.k AS INTEGER) AS k, coalesce(max(n), 0) AS max_stat FROM (SELECT DISTINCT k FROM st) s LEFT JOIN (SELECT k, comp, count(*) AS n FROM comps GROUP BY k, comp) c ON s.k = c.k GROUP BY 1""",
-        "tfce_enhance": f"""WITH RECURSIVE {GRID}, im AS (SELECT vox, i, j, val / 1000 AS stat FROM cells), top AS (SELECT max(stat) AS top FROM im),
-lv AS (SELECT step, vox, i, j, top * step / 5 AS height FROM im CROSS JOIN top CROSS JOIN range(1, 6) r(step) WHERE top > 0 AND stat >= top * step / 5), {components('lv', 'step')},
+        "cluster_extent_test": f"""WITH RECURSIVE {GRID}, st AS (SELECT k, vox, i, j, val + k * ((i * 7 + j * 13) % 100) AS stat FROM cells CROSS JOIN range(4) r(k)), ov AS (SELECT * FROM st WHERE stat >= 1500), {components('ov', 'k')},
+x AS (SELECT k, vox, count(*) OVER (PARTITION BY k, comp) AS extent FROM comps), e AS (SELECT st.k, st.vox, coalesce(extent, 0) AS extent FROM st LEFT JOIN x USING (k, vox))
+SELECT CAST(k AS INTEGER) AS k, vox, extent, max(extent) OVER (PARTITION BY k) AS max_stat FROM e""",
+        "tfce_enhance": f"""WITH RECURSIVE {GRID}, im AS (SELECT vox, i, j, CASE WHEN vox % 11 <> 0 THEN val / 1000 END AS stat FROM cells), top AS (SELECT max(stat) AS top FROM im),
+lv AS (SELECT step, vox, i, j, CASE WHEN step = 100 THEN top ELSE top * step / 100 END AS height FROM im CROSS JOIN top CROSS JOIN range(1, 101) r(step) WHERE top > 0 AND stat >= CASE WHEN step = 100 THEN top ELSE top * step / 100 END),
+edges AS (SELECT a.step, a.vox AS u, b.vox AS v FROM lv a JOIN lv b ON a.step = b.step AND ((a.i = b.i AND abs(a.j - b.j) = 1) OR (a.j = b.j AND abs(a.i - b.i) = 1))),
+{least_labels('lv')}
 sz AS (SELECT step, comp, count(*) AS n FROM comps GROUP BY step, comp), ts AS (SELECT vox, sum(sqrt(n) * height * height) AS v FROM lv JOIN comps USING (step, vox) JOIN sz USING (step, comp) GROUP BY vox)
-SELECT vox, {r('coalesce(v, 0)', 'tfce')} FROM im LEFT JOIN ts USING (vox)""",
+SELECT vox, {r('CASE WHEN stat IS NOT NULL THEN coalesce(v, 0) END', 'tfce')} FROM im LEFT JOIN ts USING (vox)""",
         "grid_smooth": smoothing_sql(),
-        "grid_inflate": f"WITH {GRID} SELECT DISTINCT b.vox, b.i, b.j FROM cells a JOIN cells b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 WHERE a.i % 10 = 0 AND a.j % 7 = 0",
+        "grid_inflate": f"WITH {GRID} SELECT DISTINCT b.vox, b.i, b.j FROM cells a JOIN cells b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 WHERE a.val >= (SELECT quantile_cont(val, 0.9) FROM cells)",
         "grid_bbox": f"WITH {GRID} SELECT min(i) AS lo_i, max(i) AS hi_i, min(j) AS lo_j, max(j) AS hi_j FROM over_mid",
         "entropy_bits": f"SELECT {r('coalesce(-sum(p * log2(p)), 0)', 'entropy')} FROM (SELECT count(*) / sum(count(*)) OVER () AS p FROM customer WHERE c_nationkey >= 0 GROUP BY c_nationkey)",
     }

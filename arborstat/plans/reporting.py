@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import provenance, report, tree_stats
+from ..operators import provenance, report, scoring, tree_stats
 from . import fits
 from .catalogue import NODE, TARGET_NATIONS, panel, rounded
 from .panel import dense_panel, images, packed, table, trend_basis, voxel_tree
@@ -116,23 +117,21 @@ def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_dice_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The node of the best Dice, the first in order on ties."""
-    key = F.struct((-F.round("dice", 9)).alias("d"), *(F.coalesce(c, F.lit(-1)).alias(c) for c in NODE))
-    return rounded(confusion(spark, sf_dir).agg(F.min_by(F.struct(*NODE, "tp", "fp", "fn", "tn", "dice"), key).alias("best")).select("best.*"))
+    return rounded(scoring.best_dice(confusion(spark, sf_dir), NODE))
 
 
 def region_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean place of each node's suppliers on a plane ten wide."""
     places = voxel_tree(spark, sf_dir).select("*", F.lit(1).cast("long").alias("size"), F.expr("(vox - 1) div 10").alias("i"), F.expr("(vox - 1) % 10").alias("j"))
-    nodes = tree_stats.roll_up(places, ["size", "i", "j"])
-    return nodes.select(*NODE, F.round(F.col("i") / F.col("size"), 1).alias("ci"), F.round(F.col("j") / F.col("size"), 1).alias("cj"))
+    return scoring.centroids(tree_stats.roll_up(places, ["size", "i", "j"]), NODE)
 
 
 def union_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confusion counts of two overlapping selections' union against the target."""
-    tree = voxel_tree(spark, sf_dir).withColumns({"pred": (F.col("region") == 1) | F.col("nation").isin(3, 4), "target": F.col("nation").isin(*TARGET_NATIONS)})
-    counted = tree.agg(*(F.count_if(c).alias(n) for n, c in (("tp", F.col("pred") & F.col("target")), ("fp", F.col("pred") & ~F.col("target")), ("fn", ~F.col("pred") & F.col("target")), ("tn", ~F.col("pred") & ~F.col("target")))))
-    return rounded(counted.withColumns(tree_stats.confusion_metrics()))
+    tree = voxel_tree(spark, sf_dir).withColumn("exp_id", F.lit("demo"))
+    found = tree.where("region = 1").withColumn("region", F.lit(0)).unionByName(tree.where("nation in (3, 4)").withColumn("region", F.lit(1)))
+    target = tree.where(F.col("nation").isin(*TARGET_NATIONS)).withColumn("target", F.lit(0))
+    return rounded(scoring.scored(scoring.union_score(tree, found, target)).select("tp", "fp", "fn", "tn", "dice", "sens", "ppv", "spec"))
 
 
 def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,23 +155,40 @@ def dag_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("uid", F.col("`customer.name`").alias("customer"), F.col("`nation.name`").alias("nation"), F.col("`region.name`").alias("region"))
 
 
+def declared_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(uid, cell): every customer is a declared leaf of its nation."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_nationkey").alias("cell"))
+
+
+def recorded_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(uid): those with a dear order are recorded, so that some leaves and cells are not."""
+    return table(spark, sf_dir, "orders").where("o_totalprice > 440000").select(F.col("o_custkey").alias("uid"))
+
+
 def cell_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers are declared, those with orders are recorded, nations are cells."""
-    declared = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_nationkey").alias("cell"))
-    return provenance.complete_cells(declared, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("uid")))
+    """Nations beyond the first nine are cells of their poor customers alone, of whom few have no order at all."""
+    declared = declared_customers(spark, sf_dir)
+    poor = table(spark, sf_dir, "customer").where("c_acctbal < -900").select(F.col("c_custkey").alias("uid"))
+    few = declared.where("cell > 8").join(poor, "uid", "left_semi")
+    held = recorded_customers(spark, sf_dir).unionByName(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("uid")))
+    return provenance.complete_cells(declared.where("cell <= 8").unionByName(few), recorded_customers(spark, sf_dir).unionByName(held.where("uid % 2 = 0")))
 
 
 def todo_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    declared = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"))
-    return provenance.missing(declared, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("uid")))
+    return provenance.missing(declared_customers(spark, sf_dir).select("uid"), recorded_customers(spark, sf_dir))
 
 
 def recipe_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of steps from their canonical JSON, and seeds from the ids."""
-    spec = F.format_string('{"kwargs":{"nation":%d,"segment":"%s"},"op":"plant","parents":[]}', F.col("c_nationkey"), F.col("c_mktsegment"))
-    uid = F.substring(F.sha2(spec, 256), 1, 32)
-    seed = F.conv(F.right(F.sha2(F.concat(F.lit("seed:"), uid), 256), F.lit(8)), 16, 10).cast("long")
-    return table(spark, sf_dir, "customer").select("c_custkey", uid.alias("uid"), seed.alias("seed"))
+    """Ids of steps from their canonical JSON, and seeds from the ids, by the operators that give them."""
+    from ..functions.identity import recipe_id
+    from ..operators.effects import seed_from
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids = [recipe_id("plant", {"segment": s, "nation": n, "kinds": {"b", "a"}}) for s, n in zip(pdf["c_mktsegment"], pdf["c_nationkey"].tolist(), strict=True)]
+            yield pd.DataFrame({"c_custkey": pdf["c_custkey"], "uid": ids, "seed": [seed_from(u) for u in ids]})
+
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey").mapInPandas(rows, "c_custkey long, uid string, seed long")
 
 
 def latest_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,9 +56,10 @@ SELECT key, {r('CASE WHEN tn > 0 AND tt > 0 THEN CASE WHEN hc > 0 THEN 1 - hck /
 SELECT tp, fp, fn, tn, {r('coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)', 'dice')}, {r('coalesce(1.0 * tp / nullif(tp + fn, 0), 0)', 'sens')}, {r('1.0 * tp / nullif(tp + fp, 0)', 'ppv')}, {r('1.0 * tn / nullif(tn + fp, 0)', 'spec')} FROM c""",
         "dag_ancestors": f"WITH RECURSIVE {EDGES}, up AS (SELECT uid, parent AS ancestor, 1 AS depth FROM edges UNION ALL SELECT up.uid, e.parent, depth + 1 FROM up JOIN edges e ON up.ancestor = e.uid) SELECT uid, ancestor, CAST(min(depth) AS INTEGER) AS depth FROM up GROUP BY uid, ancestor",
         "dag_flatten": "SELECT 'c' || c_custkey AS uid, c_name AS customer, n_name AS nation, r_name AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
-        "cell_complete": "SELECT c_nationkey AS cell, count(*) AS n, bool_and(EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) AS complete FROM customer GROUP BY 1",
-        "todo_leaves": "SELECT c_custkey AS uid FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
-        "recipe_uid": """WITH u AS (SELECT c_custkey, substr(sha256('{"kwargs":{"nation":' || c_nationkey || ',"segment":"' || c_mktsegment || '"},"op":"plant","parents":[]}'), 1, 32) AS uid FROM customer)
+        "cell_complete": """WITH d AS (SELECT c_custkey AS uid, c_nationkey AS cell FROM customer WHERE c_nationkey <= 8 OR c_acctbal < -900), h AS (SELECT o_custkey AS uid FROM orders WHERE o_totalprice > 440000 OR (o_orderstatus = 'F' AND o_custkey % 2 = 0))
+SELECT cell, count(*) AS n, bool_and(uid IN (SELECT uid FROM h)) AS complete FROM d GROUP BY 1""",
+        "todo_leaves": "SELECT c_custkey AS uid FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 440000)",
+        "recipe_uid": """WITH u AS (SELECT c_custkey, substr(sha256('{"canon_version":1,"impl_version":0,"kwargs":{"kinds":["\\"a\\"","\\"b\\""],"nation":' || c_nationkey || ',"segment":"' || c_mktsegment || '"},"op":"plant","parents":[]}'), 1, 32) AS uid FROM customer)
 SELECT c_custkey, uid, CAST('0x' || right(sha256('seed:' || uid), 8) AS BIGINT) AS seed FROM u""",
         "latest_records": f"SELECT user_id, event_id, event_type, {r('value')} FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
         "event_windows": f"SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
