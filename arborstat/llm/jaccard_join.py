@@ -14,7 +14,8 @@ documents would share no better block with odds under MISS, like those of a hash
 
 Candidates: a run of documents with the same key gives links to its smallest id alone, never all
 pairs. A run is first formed within a batch, so a key that a third of all documents have reaches the
-shuffle as a row a batch; its other members go anywhere with their batch's smallest id.
+shuffle as a row a batch; its other members go anywhere with their batch's smallest id, and by key and that
+id they find the whole run's smallest.
 Candidates are thinned by size and by the Hamming distance of short sketches, then verified on
 the whole sets, a star's pairs dealt out among salted copies of its centre. Only runs that links have
 not made one component by then are compared further, in blocks of bounded size; longer ones
@@ -194,7 +195,7 @@ def batch_runs(sets: DataFrame) -> DataFrame:
 
 
 def key_runs(dealt: DataFrame) -> DataFrame:
-    """(key, u, v): every member v of a key's run with the smallest id u of the run or of v's batch, from `batch_runs`.
+    """(key, u, v, local) from `batch_runs`: a batch's smallest id v with the run's smallest u, or (local) another member v with its batch's u.
 
     Sorted rows stream past; only the current key's first id is held.
     """
@@ -205,7 +206,7 @@ def key_runs(dealt: DataFrame) -> DataFrame:
             alone = batch.column(3).is_null()
             known = batch.filter(pa.compute.invert(alone))
             if known.num_rows:
-                yield pa.RecordBatch.from_arrays([known.column(1), known.column(3), known.column(2)], ["key", "u", "v"])
+                yield pa.RecordBatch.from_arrays([known.column(1), known.column(3), known.column(2), pa.array(np.ones(known.num_rows, bool))], ["key", "u", "v", "local"])
             batch = batch.filter(alone)
             if not batch.num_rows:
                 continue
@@ -217,10 +218,21 @@ def key_runs(dealt: DataFrame) -> DataFrame:
             first = np.where(at >= 0, doc[at], first_id)
             last_key, first_id = key[-1], first[-1]
             take = ~starts & (first != doc)
-            yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (key, first, doc)], ["key", "u", "v"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[take]) for x in (key, first, doc)), pa.array(np.zeros(int(take.sum()), bool))], ["key", "u", "v", "local"])
 
     ordered = dealt.repartition(partitions(dealt.sparkSession), "deal").sortWithinPartitions("deal", "doc")
-    return map_batches(ordered, rows, "key long, u long, v long")
+    return map_batches(ordered, rows, "key long, u long, v long, local boolean")
+
+
+def whole_runs(parts: DataFrame) -> DataFrame:
+    """(key, u, v): every member v of a key's run but the smallest id u, from the written `key_runs`.
+
+    The join is by key and batch, so that no task gets a whole run of a common key.
+    """
+    firsts = parts.where("not local").select("key", "u", "v")
+    up = firsts.select(F.col("key").alias("_key"), F.col("v").alias("_first"), F.col("u").alias("_least"))
+    others = parts.where("local").join(up, (F.col("key") == F.col("_key")) & (F.col("u") == F.col("_first")), "left")
+    return firsts.unionByName(others.select("key", F.coalesce("_least", "u").alias("u"), "v"))
 
 
 def most_different(n: Column, m: Column, percent: int) -> Column:
@@ -344,13 +356,15 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = written(document_sets(docs, words, percent, "doc_id", "text", exact), "sets")
     own = docs.where("doc_id is not null")
-    runs = written(key_runs(batch_runs(sets)), "runs")
+    parts = written(key_runs(batch_runs(sets)), "parts")
     release(docs.sparkSession)  # the keys' shuffle
+    runs = written(whole_runs(parts), "runs")
+    discard(parts)
     links = verified(thinned(runs.select("u", "v").distinct(), sets, percent), own, words, percent, "stars")
     copies = sets.where("copy_of <> doc_id").select(F.col("copy_of").alias("u"), F.col("doc_id").alias("v"))
     found = components(links)
-    # Links to a run's smallest ids are settled; what is left is between members of different components.
-    members = runs.select("key", F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    # Links to a run's smallest id are settled; what is left is between its other members, where they are of different components.
+    members = runs.select("key", F.col("v").alias("doc_id")).distinct()
     members = members.join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     open_runs, more, seed = written(unresolved(members), "open"), [links], 0
     discard(runs, found)
