@@ -18,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
@@ -31,8 +33,9 @@ from tokenizers import Tokenizer
 
 from .shared import map_batches
 
-#: Words kept with their ids in each of two generations, and the longest of them in characters: some 80 MB a worker.
-KEPT_WORDS, KEPT_LENGTH = 300_000, 32
+#: Words kept with their ids in each of two generations, the longest of them in characters, and marks of
+#: words seen once: some 140 MB a worker.
+KEPT_WORDS, KEPT_LENGTH, MARKS = 250_000, 32, 1 << 21
 #: Letters of the scripts that are split here once in lower case, and white space among them. Of texts with
 #: others the library gives the words, since its tables are of another Unicode version than Python's;
 #: the ids of words are found here in either case.
@@ -49,18 +52,33 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in keep else chr(next(spare)) for b in range(256)]
 
 
+def little(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    held = array("I", ids)
+    if sys.byteorder == "big":
+        held.byteswap()
+    return held.tobytes()
+
+
 class Words(dict):
-    """Word -> what `make` gives; two generations, so that common words survive a full table."""
+    """Word -> what `make` gives, of words that come a second time; two generations, so that common words survive a full table."""
 
-    def __init__(self, make: Callable[[str], bytes]):
-        self.make, self.older = make, {}
+    def __init__(self, make: Callable[[str], bytes], most: int = KEPT_WORDS):
+        self.make, self.most, self.older, self.marks, self.marked = make, most, {}, bytearray(MARKS), 0
 
     def __missing__(self, word: str) -> bytes:
         out = self.older.get(word)
         if out is None:
             out = self.make(word)
+            place = hash(word) & (MARKS - 1)
+            if not self.marks[place]:  # its first time, as for most words
+                self.marks[place] = 1
+                self.marked += 1
+                if self.marked > MARKS // 2:
+                    self.marks, self.marked = bytearray(MARKS), 0
+                return out
         if len(word) <= KEPT_LENGTH:
-            if len(self) >= KEPT_WORDS:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[word] = out
@@ -171,11 +189,11 @@ class PrefixBPE:
         return out[::-1]
 
     def word_ids(self, word: str) -> bytes:
-        return np.array(self.word_tokens(word.encode()), dtype="<u4").tobytes()
+        return little(self.word_tokens(word.encode()))
 
     def spelled_ids(self, word: str) -> bytes:
         """Of a word in the letters that stand for bytes."""
-        return np.array(self.word_tokens(bytes(map(self.byte_of.__getitem__, word))), dtype="<u4").tobytes()
+        return little(self.word_tokens(bytes(map(self.byte_of.__getitem__, word))))
 
     def plain_bytes(self, text: str) -> bytes:
         if text.isascii():

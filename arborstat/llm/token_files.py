@@ -1,9 +1,9 @@
 """Token ids in Arrow stream-file format: fixed-size-list batches of equal-length sequences and masks.
 
 Documents go to parts by ranges of doc_id and stand in that order; a part's file holds their ids
-on end, cut into sequences of equal length; the mask, a byte an id, is 0 where the last sequence is padded.
+on end, cut into sequences of equal length; the mask, a bit an id, is 0 where the last sequence is padded.
 Each batch but the last has the same number of sequences, so sequence k is row k mod R of batch
-k div R: a memory map gives ids and mask as views without copying. A second file gives the documents' ends.
+k div R: a memory map gives the ids as an array and the mask as an Arrow bitmap, views without copying. A second file gives the documents' ends.
 Files are renamed into place when whole, so a task that is run again replaces its own.
 
 Defined results: null text is empty, and an empty document is the end id alone; rows with equal
@@ -29,6 +29,8 @@ from .tokens import text_ids
 
 #: Ids of a sequence, and sequences of a record batch.
 LENGTH, BATCH_SEQUENCES = 2048, 256
+#: Documents whose ids are put into the file in one go.
+SOME = 100
 MANIFEST = "part int, file string, tokens long, docs long"
 INDEX = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -42,7 +44,7 @@ class SequenceWriter:
 
     def __init__(self, sink, length: int, dtype: np.dtype):
         self.length, self.dtype = length, np.dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.dtype), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.writer, self.held, self.n, self.total = pa.ipc.new_file(sink, self.schema), [], 0, 0
 
     def put(self, ids: np.ndarray) -> None:
@@ -57,8 +59,8 @@ class SequenceWriter:
         stop = len(ids) if last else len(ids) // whole * whole
         for at in range(0, stop, whole):
             part = ids[at : min(at + whole, stop)]
-            mask = np.ones(-(-len(part) // self.length) * self.length, np.uint8)
-            mask[len(part) :] = 0
+            mask = np.ones(-(-len(part) // self.length) * self.length, bool)
+            mask[len(part) :] = False
             padded = np.zeros(len(mask), self.dtype)
             padded[: len(part)] = part
             self.writer.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(padded), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)], schema=self.schema))
@@ -79,16 +81,15 @@ class SequenceFile:
         last = self.file.get_batch(self.batches - 1).num_rows if self.batches else 0
         self.sequences = max(self.batches - 1, 0) * BATCH_SEQUENCES + last
 
-    def flat(self, batch: int, column: int = 0) -> np.ndarray:
-        return self.file.get_batch(batch).column(column).flatten().to_numpy(zero_copy_only=True)
+    def flat(self, batch: int) -> np.ndarray:
+        return self.file.get_batch(batch).column(0).flatten().to_numpy(zero_copy_only=True)
 
-    def get(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def get(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of sequence k, as views."""
         if not 0 <= k < self.sequences:
             raise IndexError(k)
         batch, row = divmod(k, BATCH_SEQUENCES)
-        place = slice(row * self.length, (row + 1) * self.length)
-        return self.flat(batch)[place], self.flat(batch, 1)[place].view(np.bool_)
+        return self.flat(batch)[row * self.length : (row + 1) * self.length], self.file.get_batch(batch).column(1).values.slice(row * self.length, self.length)
 
 
 def write_files(docs: DataFrame, path: str, end_id: int, folder: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,6 +101,7 @@ def write_files(docs: DataFrame, path: str, end_id: int, folder: str, length: in
         if first is None:
             return
         encoder = text_ids(path)
+        end = np.array([end_id], "<u4").tobytes()
         dtype = np.dtype("<u2") if max(encoder.size, end_id + 1) <= 1 << 16 else np.dtype("<u4")
         context = TaskContext.get()
         part = context.partitionId()
@@ -113,10 +115,10 @@ def write_files(docs: DataFrame, path: str, end_id: int, folder: str, length: in
 
             def take(batch: pa.RecordBatch) -> None:
                 keys.append(batch.column(0))
-                for text in batch.column(1).to_pylist():
-                    ids = np.frombuffer(encoder.encode_bytes(text or ""), "<u4")
-                    out.put(np.append(ids, np.uint32(end_id)))
-                    ends.append(len(ids) + 1)
+                for at in range(0, batch.num_rows, SOME):
+                    held = [encoder.encode_bytes(text or "") + end for text in batch.column(1).slice(at, SOME).to_pylist()]
+                    out.put(np.frombuffer(b"".join(held), "<u4"))
+                    ends.extend(len(h) // 4 for h in held)
 
             take(first)
             for batch in batches:

@@ -118,9 +118,9 @@ def test_token_files_round_trip(spark, rows):
                 for k in range(held.sequences):
                     ids, mask = held.get(k)
                     assert len(ids) == len(mask) == token_files.LENGTH and ids.base is not None
-                    for view in (ids, mask):  # into the map, not copies
-                        assert source_range(source)[0] <= view.ctypes.data < source_range(source)[1]
-                    stream += ids[mask].tolist()
+                    first, last = source_range(source)  # views into the map, not copies
+                    assert first <= ids.ctypes.data < last and first <= mask.buffers()[1].address < last
+                    stream += ids[mask.to_numpy(zero_copy_only=False)].tolist()
         assert stream == [i for _, t, *_ in rows for i in [*ids_of(BYTE, t), 2]]
 
 
