@@ -180,13 +180,12 @@ def todo_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recipe_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of steps from their canonical JSON, and seeds from the ids, by the operators that give them."""
-    from ..functions.identity import recipe_id
-    from ..operators.effects import seed_from
+    from ..functions.identity import recipe_id, seed_from_uid
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids = [recipe_id("plant", {"segment": s, "nation": n, "kinds": {"b", "a"}}) for s, n in zip(pdf["c_mktsegment"], pdf["c_nationkey"].tolist(), strict=True)]
-            yield pd.DataFrame({"c_custkey": pdf["c_custkey"], "uid": ids, "seed": [seed_from(u) for u in ids]})
+            yield pd.DataFrame({"c_custkey": pdf["c_custkey"], "uid": ids, "seed": [seed_from_uid(u) for u in ids]})
 
     return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey").mapInPandas(rows, "c_custkey long, uid string, seed long")
 
