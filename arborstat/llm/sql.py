@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from .queries import RULES
-from .url_filter import LEAST_CORRELATION, MOST_CORRELATION, TWO_LABEL_SUFFIXES, rule_sql
+from .url_filter import LEAST_CORRELATION, MOST_CORRELATION, TWO_LABELS, rule_sql
 
-PAIRS = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+TWO = f"regexp_matches(pair, '{TWO_LABELS}')"
 
 
 def level(groups: str, keys: str, parent: str) -> str:
@@ -19,7 +19,7 @@ URLS = r"regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', {})"
 OP1 = f"""WITH u AS (SELECT page_id, translate(coalesce({URLS.format(1)}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce({URLS.format(2)}, '') AS path FROM pages),
 h AS (SELECT host, count(quality) AS n, coalesce(sum(quality), 0) AS good FROM u LEFT JOIN labels ON page_id = doc_id GROUP BY host),
 l AS (SELECT *, string_split(host, '.') AS p, array_to_string(string_split(host, '.')[-2:], '.') AS pair FROM h),
-nm AS (SELECT host, n, good, CASE WHEN pair IN ({PAIRS}) THEN pair ELSE p[-1] END AS suffix, CASE WHEN pair IN ({PAIRS}) THEN array_to_string(p[-3:], '.') ELSE pair END AS dom FROM l),
+nm AS (SELECT host, n, good, CASE WHEN {TWO} THEN pair ELSE p[-1] END AS suffix, CASE WHEN {TWO} THEN array_to_string(p[-3:], '.') ELSE pair END AS dom FROM l),
 a AS (SELECT coalesce(sum(good) / nullif(sum(n), 0), 0.5) AS pm FROM h),
 su AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(pm) AS pm FROM nm CROSS JOIN a GROUP BY suffix),
 {level("su", "suffix", "pm")},

@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .shared import discard, written
 
-#: Suffixes of two labels under which names are registered; elsewhere the suffix is the last label.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "gov.uk", "net.au", "org.au", "org.uk")
+#: Labels under which countries register names by category. Before a country's label of two letters
+#: they make a suffix of two labels; elsewhere the suffix is the last label. A whole table of suffixes can be given.
+CATEGORIES = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "govt", "gv", "mil", "ne", "net", "nom", "or", "org", "plc", "res", "sch")
+TWO_LABELS = rf"^({'|'.join(CATEGORIES)})\.[a-z]{{2}}$"
 #: Bounds of a level's intra-class correlation; strength of its prior is 1 / correlation - 1.
 LEAST_CORRELATION, MOST_CORRELATION = 0.001, 0.5
 #: A host with over one in so many pages is hot: there are fewer of such than this, so they are broadcast.
@@ -43,14 +45,19 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, URL, 2), F.lit(""))
 
 
-def host_suffix(host: Column) -> Column:
+def two_labels(pair: Column, suffixes: Sequence[str]) -> Column:
+    known = pair.rlike(TWO_LABELS)
+    return known | pair.isin(*suffixes) if suffixes else known
+
+
+def host_suffix(host: Column, suffixes: Sequence[str] = ()) -> Column:
     pair = F.substring_index(host, ".", -2)
-    return F.when(pair.isin(*TWO_LABEL_SUFFIXES), pair).otherwise(F.substring_index(host, ".", -1))
+    return F.when(two_labels(pair, suffixes), pair).otherwise(F.substring_index(host, ".", -1))
 
 
-def registered_domain(host: Column) -> Column:
+def registered_domain(host: Column, suffixes: Sequence[str] = ()) -> Column:
     pair = F.substring_index(host, ".", -2)
-    return F.when(pair.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(pair)
+    return F.when(two_labels(pair, suffixes), F.substring_index(host, ".", -3)).otherwise(pair)
 
 
 def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
@@ -76,9 +83,9 @@ def shrunk(groups: DataFrame, parent: str, name: str) -> DataFrame:
     return out
 
 
-def host_reputation(hosts: DataFrame, z: float, start: float) -> DataFrame:
+def host_reputation(hosts: DataFrame, z: float, start: float, suffixes: Sequence[str] = ()) -> DataFrame:
     """(host, pages, mean, bound) from the written (host, pages, n, good), a row for each host; a written table."""
-    named = hosts.withColumns({"suffix": host_suffix(F.col("host")), "domain": registered_domain(F.col("host"))})
+    named = hosts.withColumns({"suffix": host_suffix(F.col("host"), suffixes), "domain": registered_domain(F.col("host"), suffixes)})
     total = hosts.agg(F.coalesce(F.try_divide(F.sum("good"), F.sum("n")), F.lit(start)).alias("all_mean"))  # one row
     suffixes = shrunk(named.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).crossJoin(F.broadcast(total)), "all_mean", "suffixes")
     domains = named.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
@@ -90,10 +97,10 @@ def host_reputation(hosts: DataFrame, z: float, start: float) -> DataFrame:
     return out
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], least_good: float = 0.7, z: float = 1.645, start: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], least_good: float = 0.7, z: float = 1.645, start: float = 0.5, suffixes: Sequence[str] = ()) -> DataFrame:
     """(page_id, host, path, rule, verdict, bound) of each row of `pages` (page_id, url).
 
-    outcomes: (page_id, good), good 0 or 1. A host is allowed if with the one-sided confidence
+    outcomes: (page_id, good), good 0 or 1; suffixes: of two labels, besides those of TWO_LABELS. A host is allowed if with the one-sided confidence
     of `z` standard deviations at least `least_good` of its pages are good.
     """
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
@@ -101,7 +108,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], lea
     marks = outcomes.select(F.col("page_id").cast("long").alias("page_id"), F.col("good").cast("long").alias("good")).where("good is not null")
     counts = urls.join(marks, "page_id", "left").groupBy("host").agg(F.count("*").alias("pages"), F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
     counts = written(counts, "counts")
-    known = host_reputation(counts, z, start)
+    known = host_reputation(counts, z, start, suffixes)
     pages_in_all = counts.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
     is_hot = F.col("pages") * HOT > pages_in_all
     hot, other = known.where(is_hot).select("host", "bound"), known.where(~is_hot).select("host", "bound")

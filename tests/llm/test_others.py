@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from arborstat.llm import jpeg, queries
 from arborstat.llm.rule_classifier import STATISTICS, RuleModel, fit, held_out, score_documents, statistics, train
 from arborstat.llm.sharding import shard_by_bytes
-from arborstat.llm.url_filter import judge_urls
+from arborstat.llm.url_filter import host_suffix, judge_urls, registered_domain
 
 from .common import frame, odd_rows, repeated_rows
 
@@ -32,6 +32,15 @@ def test_url_rules_and_parts(spark):
     assert judge_urls(pages, outcomes.limit(0), queries.RULES).count() == len(urls)
 
 
+def test_suffixes_of_one_and_two_labels(spark):
+    hosts = {"a.b.co.kr": ("co.kr", "b.co.kr"), "x.gov.au": ("gov.au", "x.gov.au"), "co.uk": ("co.uk", "co.uk"), "a.b.com": ("com", "b.com"), "co.com": ("com", "co.com"), "s.github.io": ("io", "github.io"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    got = {r.h: (r.s, r.d) for r in df.select("h", host_suffix(F.col("h")).alias("s"), registered_domain(F.col("h")).alias("d")).collect()}
+    assert got == hosts
+    more = df.select(host_suffix(F.col("h"), ["github.io"]).alias("s"), registered_domain(F.col("h"), ["github.io"]).alias("d")).where("s = 'github.io'").collect()
+    assert [tuple(r) for r in more] == [("github.io", "s.github.io")]
+
+
 def test_reputation_shrinks_towards_parents(spark):
     pages = [(k, f"http://good{k % 5}.fine.com/{k}") for k in range(200)] + [(1000 + k, f"http://bad.awful.com/{k}") for k in range(100)] + [(2000, "http://new.awful.com/"), (2001, "http://new.fine.com/")]
     outcomes = [(k, int(k % 20 != 0)) for k in range(200)] + [(1000 + k, int(k % 10 == 0)) for k in range(100)]
