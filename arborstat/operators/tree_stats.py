@@ -1,11 +1,13 @@
 """Statistics of every node of a static tree: project each voxel, roll up, compute.
 
 A voxel's sufficient statistics (size, projections on the nuisance and interest bases, sums of
-products) add up the tree, so images are reduced before anything is shuffled by node.
+products) add up the tree, so images are reduced before anything is shuffled by node. They come from the cells
+that are known alone; no dense panel is made.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,20 +28,34 @@ def roll_up(voxels: DataFrame, sums: Sequence[str]) -> DataFrame:
     return voxels.rollup(*LEVELS).agg(node_level(), *(F.sum(s).alias(s) for s in sums)).select("level", *LEVELS, *sums)
 
 
-def voxel_projections(panel: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(vox, size, a0_f, a1_f, t_fg): projections on intercept and linear trend, and sums of products.
+def voxel_projections(held: DataFrame, n: int, features: Sequence[str]) -> DataFrame:
+    """(vox, size, a0_f, a1_f, t_fg): projections on intercept and linear trend, and sums of products, over all n images.
 
-    The trend's basis is written in terms of img, so no design has to be joined.
+    held has the cells that are known; the others are the voxel's mean, which enters by algebra and not as rows:
+    the trend sums to 0 over all images, so over those missing to minus what it sums to over those known.
     """
-    n = panel.agg((F.max("img") + 1).alias("n"))  # one row
-    with_n = panel.crossJoin(F.broadcast(n))
-    centred = F.col("img") - (F.col("n") - 1) / 2
-    norm = F.sqrt(F.col("n") * (F.col("n") * F.col("n") - 1) / 12)
-    sums = [F.lit(1).cast("long").alias("size")]
+    trend = (F.col("img") - (n - 1) / 2) / math.sqrt(n * (n * n - 1) / 12) if n > 1 else F.lit(0.0)
+    sums = [F.count("*").alias("known"), F.sum(trend).alias("along")]
     for i, f in enumerate(features):
-        sums += [F.sum(F.col(f) / F.sqrt("n")).alias(f"a0_{f}"), F.sum(F.col(f) * centred / norm).alias(f"a1_{f}")]
-        sums += [F.sum(F.col(f) * F.col(g)).alias(f"t_{f}_{g}") for g in features[i:]]
-    return with_n.groupBy("vox").agg(*sums)
+        sums += [F.avg(f).alias(f"m_{f}"), F.sum(F.col(f) * trend).alias(f"s_{f}"), *(F.sum(F.col(f) * F.col(g)).alias(f"p_{f}_{g}") for g in features[i:])]
+    own = held.groupBy("vox").agg(*sums)
+    out = [F.lit(1).cast("long").alias("size")]
+    for i, f in enumerate(features):
+        mean = F.col(f"m_{f}")
+        out += [(mean * math.sqrt(n)).alias(f"a0_{f}"), (F.col(f"s_{f}") - mean * F.col("along")).alias(f"a1_{f}")]
+        out += [(F.col(f"p_{f}_{g}") + (n - F.col("known")) * mean * F.col(f"m_{g}")).alias(f"t_{f}_{g}") for g in features[i:]]
+    return own.select("vox", *out)
+
+
+def standardized(held: DataFrame, n: int, features: Sequence[str]) -> DataFrame:
+    """The known cells with mean 0 and spread 1 of each feature over all cells, the missing ones at their voxel's mean."""
+    sums = [c for f in features for c in (F.avg(f).alias(f"m_{f}"), F.var_pop(f).alias(f"v_{f}"))]
+    own = held.groupBy("vox").agg(F.count("*").alias("known"), *sums)
+    # Spread over all cells: that of the known ones within their voxel, and of all voxels' means.
+    cells = F.count("*") * n
+    moments = [c for f in features for c in (F.avg(f"m_{f}").alias(f"mean_{f}"), F.sqrt((F.sum(F.col("known") * F.col(f"v_{f}")) + n * F.var_pop(f"m_{f}") * F.count("*")) / (cells - 1)).alias(f"std_{f}"))]
+    one = own.agg(*moments)  # one row
+    return held.crossJoin(F.broadcast(one)).select("vox", "img", *(F.try_divide(F.col(f) - F.col(f"mean_{f}"), F.col(f"std_{f}")).alias(f) for f in features))
 
 
 def error_hypothesis(nodes: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -52,29 +68,29 @@ def error_hypothesis(nodes: DataFrame, features: Sequence[str]) -> DataFrame:
     return out
 
 
-def tree_error_hypothesis(panel: DataFrame, tree: DataFrame, features: Sequence[str]) -> DataFrame:
-    voxels = voxel_projections(panel, features)
+def tree_error_hypothesis(held: DataFrame, n: int, tree: DataFrame, features: Sequence[str]) -> DataFrame:
+    voxels = voxel_projections(held, n, features)
     sums = [c for c in voxels.columns if c != "vox"]
     return error_hypothesis(roll_up(voxels.join(tree, "vox"), sums), features)
 
 
-def tree_llr(panel: DataFrame, tree: DataFrame, feature: str, min_size: int = 1) -> DataFrame:
-    nodes = tree_error_hypothesis(panel, tree, [feature])
+def tree_llr(held: DataFrame, n: int, tree: DataFrame, feature: str, min_size: int = 1) -> DataFrame:
+    nodes = tree_error_hypothesis(held, n, tree, [feature])
     e, h = F.col(f"e_{feature}_{feature}"), F.col(f"h_{feature}_{feature}")
     return nodes.select("level", *LEVELS, "size", F.when(F.col("size") >= min_size, llr(e, e + h, F.col("size"))).alias("llr"))
 
 
-def tree_llr_two(panel: DataFrame, tree: DataFrame, f: str, g: str) -> DataFrame:
+def tree_llr_two(held: DataFrame, n: int, tree: DataFrame, f: str, g: str) -> DataFrame:
     """The same for two features, by closed-form determinants."""
-    nodes = tree_error_hypothesis(panel, tree, [f, g])
+    nodes = tree_error_hypothesis(held, n, tree, [f, g])
     e = [F.col(f"e_{a}_{b}") for a, b in ((f, f), (f, g), (g, g))]
     t = [F.col(f"e_{a}_{b}") + F.col(f"h_{a}_{b}") for a, b in ((f, f), (f, g), (g, g))]
     return nodes.select("level", *LEVELS, "size", llr(det2(*e), det2(*t), F.col("size")).alias("llr"))
 
 
-def tree_five_statistics(panel: DataFrame, tree: DataFrame, feature: str) -> DataFrame:
+def tree_five_statistics(held: DataFrame, n: int, tree: DataFrame, feature: str) -> DataFrame:
     """A row for each node and statistic: E and H are computed once, statistics unpivoted."""
-    nodes = tree_error_hypothesis(panel, tree, [feature])
+    nodes = tree_error_hypothesis(held, n, tree, [feature])
     found = five_statistics(F.col(f"e_{feature}_{feature}"), F.col(f"h_{feature}_{feature}"), F.lit(1.0))
     return nodes.select("level", *LEVELS, *(c.alias(k) for k, c in found.items())).unpivot(["level", *LEVELS], list(found), "statistic", "value")
 

@@ -12,7 +12,7 @@ from ..operators import figures, grid, permutation, provenance, scoring, tree_st
 from ..operators.experiment import Experiment, sampled_design
 from ..sources.contract import AXES, TableSource
 from ..tables import written
-from .catalogue import NODE, TARGET_NATIONS, draws, grid_threshold, panel, part_grid, rounded
+from .catalogue import NODE, TARGET_NATIONS, draws, grid_threshold, known_cells, panel, part_grid, rounded, voxel_draws
 from .panel import images, packed, table, trend_basis, voxel_tree
 from .reporting import confusion, geography, method_names, regions, trials
 
@@ -23,8 +23,8 @@ STATUSES, INNER_COUNTS = ("O", "F", "P"), (5, 10, 25, 50)
 
 def suppliers_experiment(spark: SparkSession, sf_dir: str) -> Experiment:
     """Mean quantities and prices of suppliers on a plane ten wide, with a trend over images."""
-    cells = panel(spark, sf_dir).groupBy("vox").agg(F.array_sort(F.collect_list(F.struct("img", *FEATURES))).alias("c"))  # a voxel's own images
-    frame = cells.select(
+    voxels = panel(spark, sf_dir).groupBy("vox").agg(F.array_sort(F.collect_list(F.struct("img", *FEATURES))).alias("c"))  # a voxel's own images
+    frame = voxels.select(
         F.lit("suppliers").alias("exp_id"), "vox", F.expr("cast((vox - 1) div 10 as int)").alias("i"), F.expr("cast((vox - 1) % 10 as int)").alias("j"), F.lit(0).alias("k"),
         F.concat(*(F.col(f"c.{f}") for f in FEATURES)).alias("y"),
     )
@@ -142,7 +142,7 @@ def region_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fit against one with statistics a ten-thousandth larger, whose regions of the second level are missing."""
-    nodes = tree_stats.tree_llr(panel(spark, sf_dir), voxel_tree(spark, sf_dir), "qty")
+    nodes = written(tree_stats.tree_llr(*known_cells(spark, sf_dir), voxel_tree(spark, sf_dir), "qty"), "nodes")
     ref = nodes.select(*NODE, F.col("llr").alias("stat"), F.round(1 / (1 + F.col("llr")), 2).alias("pval"))
     got = nodes.where("level <> 1").select(*NODE, (F.col("llr") * 1.0001).alias("stat"), F.round(1 / (1 + 1.05 * F.col("llr")), 2).alias("pval"))
     return rounded(figures.drift_report(ref, got, NODE))
@@ -271,10 +271,7 @@ def inner_count_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = images(table(spark, sf_dir, "lineitem")).count()
-    intercept, trend = trend_basis(n)
-    bases = permutation.permuted_bases(permutation.hashed_permutations(spark, 9, n), trend)
-    return rounded(permutation.voxel_statistics_walk(permutation.voxel_draws(packed(panel(spark, sf_dir), "qty"), bases, intercept)))
+    return rounded(permutation.voxel_statistics_walk(voxel_draws(spark, sf_dir, 9)))
 
 
 def validation_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import grid, permutation, preprocess, tree_stats
 from ..tables import written
-from .panel import FEATURES, dense_panel, images, packed, table, trend_basis, voxel_tree
+from .panel import FEATURES, dense_arrays, dense_panel, images, sparse_panel, table, trend_basis, voxel_tree
 
 DIGITS, N_PERM = 6, 50
 #: Nations whose suppliers are the planted target.
@@ -80,22 +80,26 @@ def tree_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tree_stats.tree_confusion(voxel_tree(spark, sf_dir).withColumn("target", F.col("nation").isin(*TARGET_NATIONS))))
 
 
+def known_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    return sparse_panel(table(spark, sf_dir, "lineitem"))
+
+
 def tree_eh_b1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = tree_stats.tree_error_hypothesis(panel(spark, sf_dir), voxel_tree(spark, sf_dir), ["qty"])
+    nodes = tree_stats.tree_error_hypothesis(*known_cells(spark, sf_dir), voxel_tree(spark, sf_dir), ["qty"])
     return rounded(nodes.select("level", "region", "nation", "vox", "size", F.col("e_qty_qty").alias("e"), F.col("h_qty_qty").alias("h")))
 
 
 def tree_llr_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(tree_stats.tree_llr(panel(spark, sf_dir), voxel_tree(spark, sf_dir), "qty"))
+    return rounded(tree_stats.tree_llr(*known_cells(spark, sf_dir), voxel_tree(spark, sf_dir), "qty"))
 
 
 def five_stats_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(tree_stats.tree_five_statistics(panel(spark, sf_dir), voxel_tree(spark, sf_dir), "qty"))
+    return rounded(tree_stats.tree_five_statistics(*known_cells(spark, sf_dir), voxel_tree(spark, sf_dir), "qty"))
 
 
 def tree_llr_b2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = preprocess.standardize(panel(spark, sf_dir), ["qty", "price"])
-    return rounded(tree_stats.tree_llr_two(held, voxel_tree(spark, sf_dir), "qty", "price"))
+    held, n = known_cells(spark, sf_dir)
+    return rounded(tree_stats.tree_llr_two(tree_stats.standardized(held, n, ["qty", "price"]), n, voxel_tree(spark, sf_dir), "qty", "price"))
 
 
 def perm_table_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,11 +108,14 @@ def perm_table_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LLR draws of every node: packed voxels meet all permuted bases in a matrix product."""
-    n = images(table(spark, sf_dir, "lineitem")).count()
+    return written(permutation.tree_draws(voxel_draws(spark, sf_dir, N_PERM), voxel_tree(spark, sf_dir)), "draws")
+
+
+def voxel_draws(spark: SparkSession, sf_dir: str, n_perm: int) -> DataFrame:
+    held, n = known_cells(spark, sf_dir)
     intercept, trend = trend_basis(n)
-    bases = permutation.permuted_bases(permutation.hashed_permutations(spark, N_PERM, n), trend)
-    voxels = written(permutation.voxel_draws(packed(panel(spark, sf_dir), "qty"), bases, intercept), "voxels")
-    return written(permutation.tree_draws(voxels, voxel_tree(spark, sf_dir)), "draws")
+    bases = permutation.permuted_bases(permutation.hashed_permutations(spark, n_perm, n), trend)
+    return written(permutation.voxel_draws(dense_arrays(held, n, "qty"), bases, intercept), "voxels")
 
 
 NODE = ("level", "region", "nation", "vox")
