@@ -5,10 +5,10 @@ import math
 import duckdb
 import pytest
 
-from arborstat.plans import analysis, analysis_oracles, catalogue, oracles, reporting, reporting_oracles
+from arborstat.plans import analysis, analysis_oracles, catalogue, fixtures, fixtures_oracles, oracles, reporting, reporting_oracles
 
-QUERIES = catalogue.queries() | reporting.queries() | analysis.queries()
-ORACLES = oracles.oracle_sql() | reporting_oracles.oracle_sql() | analysis_oracles.oracle_sql()
+QUERIES = catalogue.queries() | reporting.queries() | analysis.queries() | fixtures.queries()
+ORACLES = oracles.oracle_sql() | reporting_oracles.oracle_sql() | analysis_oracles.oracle_sql() | fixtures_oracles.oracle_sql()
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
