@@ -222,6 +222,33 @@ class Experiment:
         (sign_e, log_e), (sign_t, log_t) = np.linalg.slogdet(t - h), np.linalg.slogdet(t)
         return {"n_voxel": size, "llr": 0.5 * size * (log_t - log_e) if sign_e > 0 and sign_t > 0 else None, "dice": 1.0, "sens": 1.0, "ppv": 1.0, "spec": 1.0, "tp": size, "fp": 0, "fn": 0, "tn": active - size}
 
+    def backgrounds(self, image: int | None = None) -> DataFrame:
+        """(vox, i, j, k, features..., rgb): each voxel's mean over images, or one image, as it was before scaling.
+
+        rgb: the three colours together, where the features are red, green and blue on a plane; else NULL.
+        """
+        if image is not None and not 0 <= image < self.n_img:
+            raise ValueError("there is no such image")
+        raw = self.unscaled()
+        n = raw.n_img
+
+        def of(f: int) -> Column:
+            part = F.slice("y", f * n + 1, n)
+            return part[image] if image is not None else F.aggregate(part, F.lit(0.0), lambda t, v: t + v) / n
+
+        out = raw.packed.select("vox", *AXES, *(of(f).alias(name) for f, name in enumerate(raw.features)))
+        colours = {name.lower(): name for name in raw.features}
+        plane = raw.packed.agg(F.max("k") == F.min("k")).first()[0]
+        if set(colours) == {"red", "green", "blue"} and plane:
+            return out.withColumn("rgb", F.array(*(F.col(colours[c]) for c in ("red", "green", "blue"))))
+        return out.withColumn("rgb", F.lit(None).cast("array<double>"))
+
+    def ranges(self, image: int | None = None) -> DataFrame:
+        """(feature, low, high) of the backgrounds."""
+        held = self.backgrounds(image)
+        one = held.agg(*(c for f in self.features for c in (F.min(f).alias(f"low_{f}"), F.max(f).alias(f"high_{f}"))))
+        return one.select(F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"low_{f}").alias("low"), F.col(f"high_{f}").alias("high")) for f in self.features))))
+
     def value_hash(self) -> str:
         """A hash of the values in the order of voxels, whatever their partitions: rows' digests are summed, then hashed."""
         row = F.conv(F.substring(F.sha2(F.concat_ws(",", F.col("vox").cast("string"), F.transform("y", lambda v: v.cast("string"))), 256), 1, 15), 16, 10).cast("decimal(38,0)")

@@ -329,8 +329,15 @@ def volume_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(grid.gather(grid.scatter(grid_threshold(spark, sf_dir), part_grid(spark, sf_dir), "val"), part_grid(spark, sf_dir), "val"))
 
 
+def backgrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over images as they were before scaling, with each feature's range."""
+    held = suppliers_experiment(spark, sf_dir).scaled()
+    wide = held.ranges().groupBy().pivot("feature", list(FEATURES)).agg(F.first("low").alias("low"), F.first("high").alias("high"))
+    return rounded(held.backgrounds().select("vox", "qty", "price").crossJoin(F.broadcast(wide)))  # one row
+
+
 QUERIES = (
-    image_bootstrap, design_sample, mask_restrict, whitened_pair, inflate_replay, detection_score, detection_regions, pred_rectangle, max_z_region, target_stats, planted_labels, mask_algebra, region_regression,
+    backgrounds, image_bootstrap, design_sample, mask_restrict, whitened_pair, inflate_replay, detection_score, detection_regions, pred_rectangle, max_z_region, target_stats, planted_labels, mask_algebra, region_regression,
     drift_report, difference_band, rate_line, seed_medians, precision_parts, runtime_summary, deepest_agreement, stability_table, wide_metrics, width_table, tune_ties, matched_metric, feature_columns, visible_rows,
     swept_axis, tidy_frame, method_order, region_extras, leaf_costs, merged_moments, draw_summary, inner_count_sweep, walk_statistics, validation_order, cache_members, leaves_by_cell, grid_product, export_manifest,
     value_hashes, volume_scatter, volume_gather,

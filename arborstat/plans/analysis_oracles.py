@@ -91,6 +91,8 @@ def oracle_sql() -> dict[str, str]:
     return fits_sql() | {
         "image_bootstrap": f"WITH {PANEL}, {bootstrap_sql()} SELECT vox, CAST(boot.img AS INTEGER) AS img, {r('qty')}, {r('price')} FROM boot JOIN panel ON panel.img = old",
         "design_sample": design_sql(),
+        "backgrounds": f"""WITH {PANEL}, m AS (SELECT vox, avg(qty) AS qty, avg(price) AS price FROM panel GROUP BY vox)
+SELECT vox, {r('qty')}, {r('price')}, {r('min(qty) OVER ()', 'qty_low')}, {r('max(qty) OVER ()', 'qty_high')}, {r('min(price) OVER ()', 'price_low')}, {r('max(price) OVER ()', 'price_high')} FROM m""",
         "mask_restrict": f"WITH {PANEL}, {PLACES} SELECT row_number() OVER (ORDER BY i, j) - 1 AS vox, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM places WHERE {TARGET}",
         "whitened_pair": f"""WITH {PANEL}, m AS (SELECT avg(qty) AS a, stddev_samp(qty) AS sa, avg(price) AS b, stddev_samp(price) AS sb, CASE WHEN corr(qty, price) < 0 THEN -1 ELSE 1 END AS s FROM panel)
 SELECT vox, img, {r('abs((qty - a) / sa - s * (price - b) / sb) / sqrt(2)', 'first')}, {r('abs((qty - a) / sa + s * (price - b) / sb) / sqrt(2)', 'second')}, {r('qty')} FROM panel CROSS JOIN m""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import io
 import re
 import struct
 import warnings
@@ -259,3 +260,17 @@ def numbered(support: DataFrame, shape: tuple[int, ...]) -> DataFrame:
     before = planes.select("i", (F.sum("n").over(Window.orderBy("i")) - F.col("n")).alias("before"))  # a row a plane
     place = F.row_number().over(Window.partitionBy("i").orderBy("j", "k")) - 1
     return support.withColumn("place", place).join(F.broadcast(before), "i").select("i", "j", "k", (F.col("before") + F.col("place")).alias("vox"))
+
+
+def read_mask(spark: SparkSession, path: str) -> DataFrame:
+    """(i, j, k) of the voxels over 0 in a volume, or in a NumPy array of two or three axes."""
+    if not path.endswith(".npy"):
+        return volumes(spark, spark.createDataFrame([("mask", "mask", path)], "subject string, feature string, path string"), {}, False).where("val > 0").select("i", "j", "k")
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["content"]:
+                held = np.load(io.BytesIO(bytes(content)), allow_pickle=False)
+                yield pd.DataFrame(np.argwhere(held.reshape((*held.shape, *(1,) * (3 - held.ndim))) > 0), columns=["i", "j", "k"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "i int, j int, k int")

@@ -214,3 +214,58 @@ def test_no_warning_with_a_bias(box):
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         box.sampled(a=2, seed=0, bias=True)
+
+
+def test_backgrounds_and_colours(spark, box):
+    held = box.scaled().backgrounds().orderBy("i", "j", "k").collect()
+    want = values(box).reshape(60, 2, 12)
+    assert np.allclose([[r["y0"], r["y1"]] for r in held], want.mean(axis=2)) and held[0]["rgb"] is None
+    one = box.backgrounds(3).orderBy("i", "j", "k").collect()
+    assert np.allclose([r["y1"] for r in one], want[:, 1, 3])
+    spans = {r["feature"]: (r["low"], r["high"]) for r in box.ranges().collect()}
+    assert spans["y0"] == pytest.approx((want[:, 0].mean(axis=1).min(), want[:, 0].mean(axis=1).max()))
+    flat = Experiment.of(spark, GaussSource((3, 2), 3, 4, 1))
+    coloured = Experiment(flat.packed, 4, ("Blue", "red", "green")).backgrounds().collect()
+    assert all(r["rgb"] == [r["red"], r["green"], r["Blue"]] for r in coloured)
+    with pytest.raises(ValueError):
+        box.backgrounds(12)
+
+
+def test_masks_of_files(spark, tmp_path):
+    from arborstat.sources import files
+
+    mask = np.zeros((3, 4, 2))
+    mask[1, 2, 1] = mask[0, 0, 0] = 2
+    mask[2, 2, 0] = -1
+    (tmp_path / "m.nii").write_bytes(files.write_nifti(mask))
+    np.save(tmp_path / "m.npy", mask)
+    np.save(tmp_path / "flat.npy", mask[:, :, 1] > 0)
+    for name, want in (("m.nii", [(0, 0, 0), (1, 2, 1)]), ("m.npy", [(0, 0, 0), (1, 2, 1)]), ("flat.npy", [(1, 2, 0)])):
+        assert sorted(map(tuple, files.read_mask(spark, f"file://{tmp_path}/{name}").collect())) == want
+
+
+def test_fits_are_saved_and_listed(spark, tmp_path):
+    base = f"file://{tmp_path}/fits"
+    assert bundle.manifest(spark, base) == []
+    for key in ("b", "a"):
+        bundle.save_fit(f"{base}/{key}", {"nodes": spark.range(3), "draws": spark.range(2)}, {"blurb": key})
+    assert {n: t.count() for n, t in bundle.load_fit(spark, f"{base}/a").items()} == {"nodes": 3, "draws": 2}
+    assert [m["key"] for m in bundle.manifest(spark, base)] == ["a", "b"]
+    (tmp_path / "fits" / "manifest.json").write_text('{"demos": [{"key": "b", "blurb": "second"}, {"key": "gone"}]}')
+    assert bundle.manifest(spark, base) == [{"key": "b", "about": {"blurb": "second"}}]
+    with pytest.raises(FileNotFoundError):
+        bundle.load_fit(spark, f"{base}/gone")
+
+
+def test_publishing_is_all_or_nothing(spark, tmp_path):
+    import hashlib
+
+    path = f"file://{tmp_path}/table"
+    bundle.publish(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["table"]
+    with pytest.raises(FileExistsError):
+        bundle.publish(spark.range(1), path)
+    (tmp_path / "x.bin").write_bytes(b"abc")
+    (tmp_path / "y.bin").write_bytes(b"abd")
+    wanted = dict.fromkeys(("x.bin", "y.bin", "z.bin"), hashlib.md5(b"abc").hexdigest())
+    assert bundle.verified_files(spark, f"file://{tmp_path}", wanted) == ["y.bin", "z.bin"]
