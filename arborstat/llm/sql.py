@@ -53,6 +53,17 @@ e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.v, r.c FROM r JOIN e ON r.doc_id = e.u)
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id"""
 
+#: Every string of 100 bytes by its digest; those that also start earlier, as runs that overlap or touch; what is left of each text.
+OP8 = """WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT doc_id, i, md5(b[i + 1:i + 100]) AS s FROM t, unnest(range(n - 99)) u(i) WHERE n >= 100),
+e AS (SELECT s, min({'d': doc_id, 'i': i}) AS first FROM p GROUP BY s HAVING count(*) > 1),
+l AS (SELECT doc_id, i FROM p JOIN e USING (s) WHERE doc_id <> first.d OR i <> first.i),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM l)),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS z FROM g GROUP BY doc_id, run),
+c AS (SELECT doc_id, list(struct_pack(a := a, z := z) ORDER BY a) AS runs, CAST(sum(z - a) AS BIGINT) AS gone, count(*) AS spans FROM r GROUP BY doc_id),
+k AS (SELECT t.doc_id, n, coalesce(gone, 0) AS gone, coalesce(spans, 0) AS spans, CASE WHEN runs IS NULL THEN hex(b) ELSE array_to_string(list_transform(range(len(runs) + 1), lambda j: hex(b[CASE WHEN j = 0 THEN 0 ELSE runs[j].z END + 1:CASE WHEN j = len(runs) THEN n ELSE runs[j + 1].a END])), '') END AS kept FROM t LEFT JOIN c USING (doc_id))
+SELECT doc_id, n AS n_bytes, gone AS n_removed, spans AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM k"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op3_exact_dedup": OP3, "op7_jaccard_join": OP7, "op9_sharding": OP9}
+    return {"op1_url_filter": OP1, "op3_exact_dedup": OP3, "op7_jaccard_join": OP7, "op8_suffix_dedup": OP8, "op9_sharding": OP9}
