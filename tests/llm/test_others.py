@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arborstat.llm import jpeg, queries
+from arborstat.llm import jpeg, queries, rule_classifier
 from arborstat.llm.rule_classifier import STATISTICS, RuleModel, fit, held_out, score_documents, statistics, train
 from arborstat.llm.sharding import shard_by_bytes
 from arborstat.llm.url_filter import host_suffix, judge_urls, registered_domain
@@ -64,6 +64,44 @@ def test_rules_are_learnt_and_compiled(spark):
     assert np.allclose(got, model.score(x[:100]))
 
 
+def test_first_split_is_the_best_of_all():
+    """Against every bound of every statistic, tried one by one."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 4)).round(1)
+    g, h = rng.normal(size=120), rng.uniform(0.1, 0.3, 120)
+    edges = [np.unique(x[:, f])[:-1] for f in range(4)]
+    binned = np.stack([np.searchsorted(edges[f], x[:, f], side="left") for f in range(4)], axis=1)
+    rules, step = [], np.zeros(120)
+    rule_classifier.grow(binned, g, h, np.arange(120), np.arange(4), edges, 5, 1, (), rules, step)
+    best = max((sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (x[:, f] <= v, x[:, f] > v)), f, v) for f in range(4) for v in edges[f] if 5 <= (x[:, f] <= v).sum() <= 115)
+    assert {r[0][:1] + r[0][2:] for r in rules} == {best[1:]}
+    for m in (x[:, best[1]] <= best[2], x[:, best[1]] > best[2]):
+        assert np.allclose(step[m], g[m].sum() / (h[m].sum() + 1))
+
+
+def test_lasso_weights_are_the_best():
+    """No weight can be moved alone so that penalised loss falls: tried on a grid about each weight."""
+    rng = np.random.default_rng(4)
+    a = rng.random((300, 8)) < 0.4
+    y = (a[:, 0] | (a[:, 1] & a[:, 2])).astype(float)
+    a = a.astype(float)
+    w, c = np.zeros(8), 0.0
+    for _ in range(10):
+        w, c = rule_classifier.lasso(a, y, 0.01, w, c)
+
+    def loss(w, c):
+        z = a @ w + c
+        return np.mean(np.logaddexp(0, z) - y * z) + 0.01 * np.abs(w).sum()
+
+    held = loss(w, c)
+    for j in range(8):
+        for d in (-0.5, -0.05, -0.005, 0.005, 0.05, 0.5):
+            moved = w.copy()
+            moved[j] += d
+            assert loss(moved, c) >= held - 1e-7
+    assert loss(w, c + 0.01) >= held - 1e-7 and loss(w, c - 0.01) >= held - 1e-7 and (np.abs(w[3:]) < 0.3).all()
+
+
 def test_models_without_two_kinds():
     assert fit(np.zeros((0, len(STATISTICS))), np.zeros(0)).score(np.zeros((2, len(STATISTICS)))).tolist() == [0.5, 0.5]
     assert fit(np.zeros((3, len(STATISTICS))), np.ones(3)).rules == ()
