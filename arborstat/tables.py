@@ -8,6 +8,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a Parquet row group, which a task holds whole while it writes.
+ROW_GROUP = 16 << 20
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A new folder in the one that driver and executors share, as `spark.checkpoint.dir` names it."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -26,7 +30,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table: read again without its lineage, and kept when an executor is lost."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
