@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, written
+from .shared import discard, few_files, written
 
 
 def nearest(edges: DataFrame) -> DataFrame:
@@ -35,5 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
             found._written_at = edges._written_at
             return found
         mark, old = now, edges
-        edges = written(small_star(large_star(old)), "links")
+        # A round has no more links than the one before, and one for each of its ends.
+        edges = written(few_files(small_star(large_star(old)), 3 * now[0]), "links")
         discard(old)

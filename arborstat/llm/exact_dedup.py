@@ -28,7 +28,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, new_path, written
+from .shared import ROW_GROUP, discard, new_path, written
 
 SPACES = " \t\n\x0b\x0c\r"
 ROCKSDB = {
@@ -42,7 +42,7 @@ ROCKSDB = {
 #: Spark's own filter of the large side of a join by the keys of the small one.
 BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "100g", "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "100000000", "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": str(1 << 30)}
 #: Files of a micro-batch, at least, and micro-batches of a run, at most.
-LEAST_FILES, MOST_BATCHES = 16, 8
+LEAST_FILES, MOST_BATCHES = 32, 4
 #: Rows (locator and digest, some 200 bytes each) that are broadcast, at most; beyond it they are joined by a shuffle.
 BROADCAST_HITS = 250_000
 KEYS = "arrival string, doc_id long, digest binary, text_sha256 string, code_points int, _file string, _position long"
@@ -117,7 +117,7 @@ def judged(rows: DataFrame, id_col: str, text_col: str, digest: Callable[[Column
     spark, folder, arrival = rows.sparkSession, folder or new_path(rows.sparkSession, "dedup"), uuid.uuid4().hex
     texts = contents(rows, id_col, text_col)
     found = texts.select(F.lit(arrival).alias("arrival"), "doc_id", digest(F.col("content")).alias("digest"), F.sha2("content", 256).alias("text_sha256"), "code_points", *LOCATOR)
-    found.write.mode("append").parquet(f"{folder}/keys")
+    found.write.mode("append").option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/keys")
     every = spark.read.schema(KEYS).parquet(f"{folder}/keys")
     keys = every.where(F.col("arrival") == arrival)
     files = rows.inputFiles()

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, join_ids, map_batches, partitions, release, written
+from .shared import discard, few_files, join_ids, map_batches, partitions, release, written
 
 #: Ratio of a band's ends, at least; short sketch in 64-bit words; odds of a link lost by leaving out poor blocks.
 BAND, SKETCH_WORDS, MISS = 1.5, 8, 1e-13
@@ -260,8 +260,9 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, name:
     """
     pairs = written(pairs, "pairs")
     apart = pairs.where("not equal").select("u", "v")
-    centres = written(apart.groupBy("u").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts")), "centres")
-    ids = written(apart.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ids")
+    n = apart.count()
+    centres = written(few_files(apart.groupBy("u").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts")), n), "centres")
+    ids = written(few_files(apart.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), 2 * n), "ids")
     texts = written(join_ids(docs, ids, "doc_id", "left_semi"), "texts")
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborstat.tables import discard, new_path, remove, shared_dir, written
+from arborstat.tables import ROW_GROUP, discard, new_path, remove, shared_dir, written
 
-__all__ = ["bounded_batches", "discard", "join_ids", "map_batches", "new_path", "partitions", "release", "remove", "shared_dir", "written"]
+__all__ = ["ROW_GROUP", "bounded_batches", "discard", "few_files", "join_ids", "map_batches", "new_path", "partitions", "release", "remove", "shared_dir", "written"]
 #: Rows of one Arrow batch, and its bytes where the Spark version can bound them.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
@@ -27,6 +27,15 @@ def map_batches(df: DataFrame, rows: Callable[[Iterable[pa.RecordBatch]], Iterat
     return df.mapInArrow(rows, schema)
 
 
+#: Rows of one file of a small table.
+FILE_ROWS = 100_000
+
+
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, of which no more than so many rows are known to come, in no more files than these fill."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS))) if rows < FILE_ROWS * partitions(df.sparkSession) else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
