@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 
 from arborstat.functions import identity, mancova
-from arborstat.operators import effects, prune, report
-from arborstat.operators.tree_kernels import grid_edges, label_map, layout, nearest_included, node_sums, parents, postorder, prefix_sums, sizes, ward
-from arborstat.plans.fits import Design, node_llr
+from arborstat.operators import effects, grid, prune, report
+from arborstat.operators.tree_kernels import grid_edges, label_map, layout, merge_movie, nearest_included, node_sums, parents, postorder, prefix_sums, sizes, ward
+from arborstat.plans import fits
+from arborstat.plans.fits import Design, cluster_values, node_llr
 from arborstat.sources import files, gauss
 
 TREE = np.array([[0, 1], [2, 3], [4, 5]])
@@ -135,11 +136,11 @@ def test_effects():
     assert effects.sphere(ijk, 14, radius=1).sum() == 5 and effects.sphere(ijk, 14, n_vox=7).sum() == 7
     assert effects.diameter(ijk) == 10
     a, b = effects.spectral_halves(ijk)
-    assert not (a & b).any() and (a | b).all() and min(a.sum(), b.sum()) >= 12
+    assert not (a & b).any() and (a | b).all() and a.sum() == b.sum() == 18
     rng = np.random.default_rng(0)
     y, x, contrast = rng.standard_normal((2, 15, 10)), np.stack([np.ones(15), rng.standard_normal(15)]), np.array([False, True])
     q = mancova.bases(x, contrast)
-    for offset in (effects.smallest_offset(y, x, contrast, 2.0), effects.offset_along(y, x, contrast, effects.beta_direction(1, 2, 0.3, 5), 2.0)):
+    for offset in (effects.smallest_offset(y, x, contrast, 2.0), effects.offset_along(y, x, contrast, effects.beta_direction(1, 2, 20.0, 5), 2.0)):
         assert effects.region_llr(y + offset[:, :, None], q) == pytest.approx(2.0, abs=1e-6)
     with pytest.raises(ValueError):
         effects.beta_direction(1, 1, 0.0, 0)
@@ -179,3 +180,47 @@ def test_image_files():
         files.subject_of("/a/s1/s2.nii", r"s\d")
     with pytest.raises(ValueError):
         files.read_png(b"nothing")
+
+
+def test_modes_of_clustering():
+    rng = np.random.default_rng(3)
+    y, design = rng.standard_normal((2, 10, 4)), Design(np.stack([np.ones(10), np.arange(10.0), rng.standard_normal(10)]), np.array([False, False, True]))
+    q = design.q
+    assert (cluster_values(y, q, "naive") == y.reshape(20, 4).T).all()
+    left = cluster_values(y, q, "glm_error").T.reshape(2, 10, 4)
+    assert np.allclose(np.einsum("ai,fiv->fav", q[0], left), 0) and np.allclose(np.einsum("ri,fiv->frv", q[2], left), np.einsum("ri,fiv->frv", q[2], y))
+    assert np.allclose(cluster_values(y, q, "focus"), np.einsum("ri,fiv->vfr", q[1], y).reshape(4, -1))
+    with pytest.raises(ValueError):
+        cluster_values(y, q, "none")
+    with pytest.raises(ValueError):
+        Design(np.ones((2, 3)), np.array([True]))
+
+
+def test_movie_of_merges():
+    frames = [label.tolist() for _, label in merge_movie(TREE, 4)]
+    assert frames == [[0, 0, 2, 3], [0, 0, 2, 2], [0, 0, 0, 0]]
+
+
+def test_sizes_of_voxels_and_kernels():
+    affine = np.array([[0, -2.0, 0, 5], [3.0, 0, 0, 5], [0, 0, 1.5, 5], [0, 0, 0, 1]])
+    assert grid.voxel_sizes(affine).tolist() == [3.0, 2.0, 1.5]
+    for fwhm, size in ((2.0, 1.0), (6.0, 2.0)):
+        weights = grid.kernel(fwhm, size)
+        assert sum(w for _, w in weights) == pytest.approx(1) and weights[-1][0] == grid.halo(fwhm, size)
+        # Half of the middle's weight lies half a width away: read off the kernel's own Gaussian.
+        ratio = dict(weights)[1] / dict(weights)[0]
+        assert math.log(ratio) == pytest.approx(-4 * math.log(2) * (size / fwhm) ** 2)
+
+
+def test_trees_of_experiments_by_mode(spark):
+    y, ijk = gauss.sample(1, 12, (4, 4), 2), gauss.places((4, 4))
+    packed = spark.createDataFrame(gauss.packed_frame("e", y, ijk), fits.PACKED)
+    design = Design(np.stack([np.ones(12), np.arange(12.0)]), np.array([False, True]))
+    for mode in fits.MODES:
+        draws = fits.region_draws(packed, design, 1, 2, 3, mode)
+        rows = draws.orderBy("draw").collect()
+        assert [r["draw"] for r in rows] == [0, 1, 2] and rows[1]["nodes"] is None and len(rows[0]["nodes"]) == 31
+        children = np.array([(n["left"], n["right"]) for n in rows[0]["nodes"][16:]])
+        assert (children == fits.region_tree(y, ijk, design.q, mode)).all()
+        want = node_llr(y, children, design.q, [np.arange(12)])[0]
+        assert [n["llr"] for n in rows[0]["nodes"]] == pytest.approx(want.tolist())
