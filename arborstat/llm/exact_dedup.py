@@ -72,14 +72,23 @@ def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def rows_of_files(docs: DataFrame) -> bool:
+    """Whether each row of `docs` is a row of a file: nothing but selections and filters stand over one relation of files."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.children().isEmpty() and bool(docs.inputFiles())
+
+
 def located(docs: DataFrame) -> DataFrame:
-    """`docs` with the locator of each row; rows that are in no file are written to the shared folder first."""
+    """`docs` with the locator of each row; rows that aren't each a file's own are written to the shared folder first."""
     locator = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_position")]
-    try:
-        return docs.select("*", *locator)
-    except AnalysisException:
-        landed = written(docs, "landed")
-        return landed.select("*", *locator)
+    if rows_of_files(docs):
+        try:
+            return docs.select("*", *locator)
+        except AnalysisException:  # a format whose rows have no place
+            pass
+    return written(docs, "landed").select("*", *locator)
 
 
 def contents(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:

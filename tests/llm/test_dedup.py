@@ -58,6 +58,22 @@ def test_rows_with_one_id_and_text(spark):
     assert sorted(r.keep_id for r in without_copies(df.withColumn("digest", F.lit("x"))).collect()) in ([2, 4, 6], [3, 4, 6])
 
 
+def test_rows_that_are_no_files_own(spark):
+    """Rows that a plan makes of one file's row, or joins and unions give, are told apart; selections of files are read where they are."""
+    path = new_path(spark, "own")
+    frame(spark, odd_rows()).write.parquet(path)
+    held = spark.read.parquet(path)
+    assert exact_dedup.rows_of_files(held.where("doc_id > 1").select("doc_id", "text")) and not exact_dedup.rows_of_files(frame(spark, odd_rows()))
+    for twice in (held.withColumn("again", F.explode(F.array(F.lit(1), F.lit(2)))), held.unionByName(held), held.crossJoin(spark.range(2))):
+        assert not exact_dedup.rows_of_files(twice)
+        got = stream_dedup(twice).collect()
+        want = exact_groups([r[:2] for r in odd_rows()])
+        assert len(got) == 2 * len(odd_rows()) and {r.doc_id: (r.keep_id, r.group_size) for r in got} == {d: (k, 2 * n) for d, (k, n, _) in want.items()}
+        assert sum(r.kept for r in got) == len({plain(r[1]) for r in odd_rows()})
+    json = spark.read.schema(held.schema).json(held.toJSON().map(str))
+    assert {r.doc_id: r.keep_id for r in stream_dedup(json).collect()} == {d: k for d, (k, _, _) in exact_groups([r[:2] for r in odd_rows()]).items()}
+
+
 def test_exact_dedup_of_repeated_and_empty(spark):
     rows = repeated_rows()
     got = stream_dedup(frame(spark, rows)).collect()
