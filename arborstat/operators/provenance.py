@@ -5,6 +5,7 @@ from __future__ import annotations
 import inspect
 import itertools
 import json
+import math
 import time
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -141,10 +142,13 @@ def merged_moments(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def chunk_slices(n: int, row_bytes: int, chunks: int, most_bytes: int = 1 << 28) -> list[slice]:
-    """Nearly equal slices of n rows: at least `chunks` (or n), and so many that none has more than `most_bytes`."""
-    fit = max(1, most_bytes // max(1, row_bytes))
-    edges = np.linspace(0, n, min(n, max(chunks, -(-n // fit))) + 1).astype(int).tolist() if n else [0]
-    return [slice(a, b) for a, b in itertools.pairwise(edges) if b > a]
+    """Slices of n rows whose sizes differ by one at most: as many as `chunks`, or more where one would have over `most_bytes`."""
+    if not n:
+        return []
+    rows = max(1, most_bytes // max(1, row_bytes))
+    parts = min(n, max(chunks, math.ceil(n / rows)))
+    size, longer = divmod(n, parts)
+    return [slice(k * size + min(k, longer), (k + 1) * size + min(k + 1, longer)) for k in range(parts)]
 
 
 @dataclass
