@@ -28,7 +28,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ROW_GROUP, discard, new_path, written
+from .shared import ROW_GROUP, discard, new_path, release, written
 
 SPACES = " \t\n\x0b\x0c\r"
 ROCKSDB = {
@@ -134,9 +134,11 @@ def judged(rows: DataFrame, id_col: str, text_col: str, digest: Callable[[Column
         return keys.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", *LOCATOR)
     # What later calls need to read these texts again: a row a file.
     spark.createDataFrame([(arrival, f, id_col, text_col) for f in files], "arrival string, file string, id_col string, text_col string").coalesce(1).write.mode("append").parquet(f"{folder}/sources")
+    release(spark)
     out = updates(folder, max(LEAST_FILES, -(-len(every.inputFiles()) // MOST_BATCHES)), spark)
     # A digest's best row only falls and its number of rows only grows from one update to the next.
     state = written(spark.read.parquet(out).groupBy("digest").agg(F.min("best").alias("best"), F.max("group_size").alias("group_size")), "groups")
+    release(spark)
     hits = written(every.join(state.where("group_size > 1").select("digest"), "digest", "left_semi").select("digest", "arrival", *LOCATOR), "hits")
     few, hits = hits.count() <= BROADCAST_HITS, hits.where("_position >= 0")
     sources = spark.read.parquet(f"{folder}/sources").where(F.col("arrival") != arrival).groupBy("id_col", "text_col").agg(F.collect_set("file").alias("files")).collect()  # files, not documents

@@ -361,6 +361,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     release(docs.sparkSession)  # the keys' shuffle
     runs = written(whole_runs(parts), "runs")
     discard(parts)
+    release(docs.sparkSession)
     links = verified(thinned(runs.select("u", "v").distinct(), sets, percent), own, words, percent, "stars")
     copies = sets.where("copy_of <> doc_id").select(F.col("copy_of").alias("u"), F.col("doc_id").alias("v"))
     found = components(links)
@@ -369,6 +370,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     members = members.join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     open_runs, more, seed = written(unresolved(members), "open"), [links], 0
     discard(runs, found)
+    release(docs.sparkSession)
     side = sets.where("copy_of = doc_id").select("doc_id", "n_shingles", "sketch")
     while not open_runs.isEmpty():
         near = near_in_runs(open_runs.where(F.col("length") <= RUN).join(side, "doc_id"), percent)
@@ -387,4 +389,5 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         discard(old, ids)
     found = components(reduce(DataFrame.unionByName, more).unionByName(copies))
     discard(open_runs, *more)
+    release(docs.sparkSession)
     return sets.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import map_batches
-from .tokens import text_ids
+from .tokens import KEPT, text_ids
 
 #: Documents of a group, on average. Padding falls with it, a task's work grows with it.
 GROUP_DOCUMENTS = 4096
@@ -66,11 +66,11 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT) -> DataFrame:
     """A row for each piece of at most `capacity` ids of each document, its end id included; doc_crc32 is of all its ids."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = text_ids(path)
+        ids = text_ids(path, kept)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[list[int | None]] = [[] for _ in KINDS]
@@ -100,6 +100,6 @@ def pack_pieces(pieces: DataFrame, n_documents: int, capacity: int, seed: int =
     return dealt.groupBy("group").applyInPandas(pack, PIECES + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece."""
-    return pack_pieces(token_pieces(docs, path, capacity, end_id, id_col, text_col), docs.count(), capacity)
+def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece. kept: words whose ids a worker keeps."""
+    return pack_pieces(token_pieces(docs, path, capacity, end_id, id_col, text_col, kept), docs.count(), capacity)

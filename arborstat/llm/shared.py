@@ -41,11 +41,13 @@ def partitions(spark: SparkSession) -> int:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of steps whose results are written and whose plans are gone."""
+    """Let go of what earlier steps left: the driver's plans, whose shuffle files Spark then deletes, and executors' garbage and buffers."""
     import gc
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
 
 
 #: Rows of ids that are broadcast, at most; beyond it the join shuffles.

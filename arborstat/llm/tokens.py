@@ -28,7 +28,7 @@ ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 class TextIds:
     """encode_bytes(text): its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
@@ -43,7 +43,7 @@ class TextIds:
         self.split, self.unusual = re.compile(rule).findall, re.compile(f"[^{USUAL}]").search
         self.letters = byte_letters()
         self.spell = {b: self.letters[b] for b in range(128)}
-        self.kept = Words(self.word, KEPT)
+        self.kept = Words(self.word, kept)
 
     def whole(self, text: str) -> bytes:
         return little(self.library.encode(text, add_special_tokens=False).ids)
@@ -64,6 +64,6 @@ class TextIds:
 
 
 @cache
-def text_ids(path: str) -> TextIds:
+def text_ids(path: str, kept: int = KEPT) -> TextIds:
     """One a worker and file."""
-    return TextIds(path)
+    return TextIds(path, kept)
