@@ -18,12 +18,14 @@ from arborstat.llm.exact_dedup import without_copies
 from arborstat.llm.jaccard_join import near_components
 from arborstat.llm.packing import pack_documents
 from arborstat.llm.rule_classifier import train, with_statistics
-from arborstat.llm.shared import discard, join_ids, written
+from arborstat.llm.shared import discard, join_ids, release, written
 from arborstat.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Score from which a document stays; words of a shingle and least similarity of near copies; bytes of a repeated passage.
 KEEP_SCORE, SHINGLE_WORDS, SIMILARITY, PASSAGE_BYTES = 0.7, 5, 80, 150
+#: Words whose ids a worker keeps while it packs: fewer than the operator's own, as workers of all stages share an executor.
+KEPT_WORDS = 50_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +51,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without words are near nothing and stay; rows that share an id stay or go together; rows without an id stay.
     """
+    release(spark)
     found = near_components(docs, SHINGLE_WORDS, SIMILARITY)
     gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return join_ids(docs.select(*COLUMNS), gone, "doc_id", "left_anti")
@@ -60,6 +63,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Empty texts and those shorter than a passage stay as they are; a repeated row is a later document; a null text
     becomes an empty one; n_chars is that of what is left. A letter that a cut splits goes.
     """
+    release(spark)
     cut = remove_repeats(docs, PASSAGE_BYTES, keep=("lang", "source"), as_text=True)
     left = cut.where((F.col("n_removed") == 0) | (F.length(F.trim("kept")) > 0)).withColumnRenamed("kept", "text")
     return left.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
@@ -67,7 +71,8 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left, with their sequences; an empty text is the end id alone."""
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    release(spark)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), kept=KEPT_WORDS)
 
 
 STAGES = [("quality_classifier", quality), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("suffix_dedup", passages), ("packing", packing)]
