@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 from .analysis import BOOTSTRAP, BOOTSTRAP_SEED, DESIGN_SEED, INNER_COUNTS, STATUSES
-from .oracles import DRAWS, GRID, LEVEL, NODES, PANEL, PERMS, TARGET, components, r
+from .oracles import DRAWS, GRID, NODES, PANEL, PERMS, TARGET, components, r
 from .reporting_oracles import CONFUSION, EDGES, FIRST, MEANS, REGIONS, TRIALS
 
 MONTHS, N_PERM, TAIL = 83, 99, 0.001

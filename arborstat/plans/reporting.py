@@ -6,12 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import provenance, report, scoring, tree_stats
 from . import fits
-from .catalogue import NODE, TARGET_NATIONS, panel, rounded
+from .catalogue import NODE, TARGET_NATIONS, rounded
 from .panel import dense_panel, images, packed, table, trend_basis, voxel_tree
 
 
