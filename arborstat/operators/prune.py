@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Mapping, Sequence
 
@@ -20,11 +21,12 @@ def intervals(children: np.ndarray, n_leaves: int) -> tuple[np.ndarray, np.ndarr
 def greedy(regions: Sequence[int], children: np.ndarray, n_leaves: int, stat: Mapping[int, float]) -> tuple[int, ...]:
     """By falling statistic, those over 0 that no chosen region contains or lies in."""
     low, high = intervals(children, n_leaves)
-    chosen: list[int] = []
+    spans: list[tuple[int, int, int]] = []  # those chosen, in leaf order
     for r in sorted(regions, key=lambda r: (-stat[r], r)):
-        if stat[r] > 0 and all(high[r] <= low[c] or high[c] <= low[r] for c in chosen):
-            chosen.append(r)
-    return tuple(sorted(chosen))
+        at = bisect.bisect_left(spans, (int(low[r]),))
+        if stat[r] > 0 and (at == len(spans) or high[r] <= spans[at][0]) and (at == 0 or spans[at - 1][1] <= low[r]):
+            spans.insert(at, (int(low[r]), int(high[r]), r))
+    return tuple(sorted(r for _, _, r in spans))
 
 
 def single_max(regions: Sequence[int], stat: Mapping[int, float]) -> tuple[int, ...]:

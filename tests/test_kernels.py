@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -224,3 +225,43 @@ def test_trees_of_experiments_by_mode(spark):
         assert (children == fits.region_tree(y, ijk, design.q, mode)).all()
         want = node_llr(y, children, design.q, [np.arange(12)])[0]
         assert [n["llr"] for n in rows[0]["nodes"]] == pytest.approx(want.tolist())
+
+
+def plain_ward(values, edges):
+    """Every alive pair that touches, cheapest first, ties by the larger and then the smaller node."""
+    centre, size, alive = list(values), [1] * len(values), set(range(len(values)))
+    pairs, rows = {(max(a, b), min(a, b)) for a, b in edges.tolist()}, []
+
+    def cost(a, b):
+        d = centre[a] - centre[b]
+        return float(d @ d) * size[a] * size[b] / (size[a] + size[b])
+
+    while pairs:
+        _, a, b = min((cost(a, b), a, b) for a, b in pairs)
+        new = len(centre)
+        centre.append((centre[a] * size[a] + centre[b] * size[b]) / (size[a] + size[b]))
+        size.append(size[a] + size[b])
+        alive = alive - {a, b}
+        pairs = {(new if x in (a, b) else x, new if y in (a, b) else y) for x, y in pairs}
+        pairs = {(max(p), min(p)) for p in pairs if p[0] != p[1]}
+        rows.append((min(a, b), max(a, b)))
+    return rows
+
+
+@pytest.mark.parametrize("features", [1, 3])
+def test_ward_with_equal_costs(features):
+    """Whole numbers, so that many costs are equal; a place apart keeps a forest."""
+    ijk = np.concatenate([np.stack(np.unravel_index(np.arange(48), (8, 6)), axis=1), [[30, 30]]])
+    values = np.random.default_rng(features).integers(0, 4, (49, features)).astype(float)
+    children, _ = ward(values, grid_edges(ijk))
+    assert [tuple(r) for r in children.tolist()] == plain_ward(values, grid_edges(ijk)) and len(children) == 47
+
+
+def test_many_disjoint_regions_are_chosen_in_time():
+    """Tens of thousands of significant pairs: each looks at its neighbours among the chosen and not at all of them."""
+    n = 1 << 16
+    children = np.stack([np.arange(0, n, 2), np.arange(1, n, 2)], axis=1)
+    regions = list(range(n, n + n // 2))
+    began = time.perf_counter()
+    assert prune.greedy([0, *regions], children, n, {0: 9.0} | dict.fromkeys(regions, 1.0)) == (0, *regions[1:])
+    assert time.perf_counter() - began < 20
